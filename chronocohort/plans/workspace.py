@@ -115,7 +115,7 @@ class Workspace(Clinic):
         return rx.select(
             F.col("o_custkey").alias("subject_id"), F.expr("CAST(1 + l_orderkey % 4 AS INT)").alias("cycle_number"),
             F.expr("l_orderkey * 10 + l_linenumber").alias("position"), token.alias("token"),
-            (F.col("l_extendedprice") / 100000).alias("rollout_score"), (F.abs(F.col("l_quantity") - 25) / 25).alias("ig_score_l2"),
+            (F.col("l_extendedprice") / 77777).alias("rollout_score"), (F.abs(F.col("l_quantity") - 25) / 25).alias("ig_score_l2"),
             (F.col("l_quantity") - 25).alias("ig_score_signed"), F.expr("CAST(1 + l_suppkey % 6 AS INT)").alias("visit"),
             F.expr("-CAST(l_partkey % 400 AS DOUBLE)").alias("days_before"))
 

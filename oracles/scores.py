@@ -11,7 +11,7 @@ name(
             WHEN 1 THEN 'lab::' || ['50912', '51006', '59999', '51222_Q1'][1 + CAST(l_suppkey % 4 AS INT)]
             WHEN 2 THEN 'medication::' || ['doxorubicin hcl', 'imatinib', 'trastuzumab emtansine conjugate'][1 + CAST(l_partkey % 3 AS INT)]
             ELSE '[CLS]' END AS token,
-        l_extendedprice / 100000 AS rollout_score, abs(l_quantity - 25) / 25 AS ig_score_l2, l_quantity - 25 AS ig_score_signed,
+        l_extendedprice / 77777 AS rollout_score, abs(l_quantity - 25) / 25 AS ig_score_l2, l_quantity - 25 AS ig_score_signed,
         CAST(1 + l_suppkey % 6 AS INT) AS visit, -CAST(l_partkey % 400 AS DOUBLE) AS days_before FROM li""",
     att_named="""SELECT *, CASE WHEN token = '[CLS]' THEN 'special' ELSE split_part(token, '::', 1) END AS event_type,
         CASE split_part(token, '::', 1) WHEN 'lab' THEN 'lab:' || CASE split_part(token[6:], '_', 1) WHEN '50912' THEN 'Creatinine'

@@ -85,7 +85,7 @@ def main() -> None:
             got = fn(spark, folder).toArrow()
             took = time.time() - t
             t = time.time()
-            verdict = compare(got, con.execute(oracle[key]).arrow().read_all() if key in oracle else got) if key in oracle else "rows only"
+            verdict = compare(got, con.execute(oracle[key]).to_arrow_table() if key in oracle else got) if key in oracle else "rows only"
             verdict = verdict if got.num_rows else f"EMPTY {verdict}"
             report[key] = {"verdict": verdict, "rows": got.num_rows, "spark": round(took, 2), "duckdb": round(time.time() - t, 2)}
         except Exception as e:  # noqa: BLE001
