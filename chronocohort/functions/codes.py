@@ -1,14 +1,24 @@
-"""Diagnosis and procedure code sets: version -> prefixes, turned into one anchored regex each."""
+"""Diagnosis and procedure code sets: version -> prefixes, as set lookups on the leading characters."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _starts(code: Column, prefixes: Sequence[str]) -> Column:
+    """One set lookup per prefix length, instead of one test or regex branch per prefix; '=9925' asks for the whole code."""
+    tests = [code.isin([p[1:] for p in prefixes if p.startswith("=")])] if any(p.startswith("=") for p in prefixes) else []
+    for n in sorted({len(p) for p in prefixes if not p.startswith("=")}):
+        tests.append(F.substring(code, 1, n).isin([p for p in prefixes if len(p) == n and not p.startswith("=")]))
+    return reduce(or_, tests)
+
+
 @dataclass(frozen=True)
 class CodeSet:
     """Prefixes per code version; ``any_version`` prefixes ignore the version column."""
@@ -19,12 +29,10 @@ class CodeSet:
     def matches(self, code: Column | str = "icd_code", version: Column | str = "icd_version") -> Column:
         code = F.col(code) if isinstance(code, str) else code
         version = F.col(version) if isinstance(version, str) else version
-        hit = F.lit(False)
-        for number, prefixes in self.versions.items():
-            hit = hit | ((version == number) & code.rlike(f"^({'|'.join(prefixes)})"))
+        tests = [(version == number) & _starts(code, prefixes) for number, prefixes in self.versions.items()]
         if self.any_version:
-            hit = hit | code.rlike(f"^({'|'.join(self.any_version)})")
-        return hit
+            tests.append(_starts(code, self.any_version))
+        return reduce(or_, tests)
 
     def __or__(self, other: "CodeSet") -> "CodeSet":
         merged = {v: [*self.versions.get(v, ()), *other.versions.get(v, ())]
@@ -55,7 +63,7 @@ MAIN_V1_CV = CodeSet(any_version=["425", "428", "410", "411", "412", "413", "414
 MAIN_V2_CV = CodeSet(any_version=["425", "428", "410", "411", "413", "420", "421", "422", "423",
                                   "426", "427", "I42", "I50", "I21", "I22", "I23", "I63", "I64", "I30", "I31",
                                   "I40", "I41", "I44", "I45", "I46", "I47", "I48", "I49", "I51"])
-TREATMENT_PROCEDURES = CodeSet({9: ["922", "9925$"], 10: ["D7"]})
+TREATMENT_PROCEDURES = CodeSet({9: ["922", "=9925"], 10: ["D7"]})
 
 
 def active_cancer(code: str = "icd_code", version: str = "icd_version") -> Column:

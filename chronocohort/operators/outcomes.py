@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from chronocohort.functions.codes import CANCER_HISTORY, CARDIOMYOPATHY, HEART_FAILURE, PRIOR_CANCER, CodeSet, active_cancer
 from chronocohort.operators.exposure import text_set
-from chronocohort.operators.ordering import union_all
 from chronocohort.operators.temporal import asof_lookback, first_by, range_followup
 
 
@@ -129,14 +128,41 @@ def echo_baselines(anchor: DataFrame, echo: DataFrame) -> tuple[DataFrame, DataF
     return lvef, gls
 
 
-def first_echo_event(anchor: DataFrame, echo: DataFrame) -> DataFrame:
-    """Earliest LVEF or strain event per patient; LVEF wins ties, then the larger change."""
-    base_lvef, base_gls = echo_baselines(anchor, echo)
-    both = union_all([lvef_drop_events(base_lvef, lvef_values(echo)), gls_relative_events(base_gls, gls_values(echo))])
-    both = both.withColumnRenamed("event_time", "first_echo_event_time").withColumnRenamed("event_type", "first_echo_event_type")
-    order = [F.col("first_echo_event_time"), F.when(F.col("first_echo_event_type") == "lvef_ctrcd", 0).otherwise(1),
-             F.coalesce(-F.col("lvef_drop_pp"), F.lit(0.0)), F.coalesce(-F.col("gls_relative_decrease"), F.lit(0.0))]
-    return first_by(both, "subject_id", order, ECHO_COLUMNS)
+def echo_measures(echo: DataFrame) -> DataFrame:
+    """Both kinds in one pass: 0 = LVEF, 1 = strain (negative values only)."""
+    name, value = F.lower("measurement"), F.expr("try_cast(result AS DOUBLE)")
+    strain = name.contains("gls") | name.contains("global longitudinal") | name.contains("global_longitudinal")
+    kind = F.when(name == "lvef", 0).when(strain & (value < 0), 1)
+    return (echo.select("subject_id", "measurement_datetime", kind.alias("kind"), value.alias("value"))
+            .where("kind IS NOT NULL AND value IS NOT NULL"))
+
+
+def first_echo_event(anchor: DataFrame, echo: DataFrame, lookback: str = "INTERVAL '365' DAY") -> DataFrame:
+    """Earliest LVEF or strain event per patient; LVEF wins ties, then the larger change.
+
+    Two passes over the measurements, whatever the number of kinds: one for the baselines, one for the
+    follow-up values against them.
+    """
+    measures = echo_measures(echo)
+    t, v, lvef = F.col("measurement_datetime"), F.col("value"), F.col("kind") == 0
+    start = F.col("first_drug_time")
+    prior = measures.join(anchor, "subject_id").where((t < start) & (t >= F.expr(f"first_drug_time - {lookback}")))
+    base = (prior.groupBy("subject_id", "first_drug_time", "kind")
+            .agg(F.max(F.struct(t.alias("t"), F.when(lvef, v).otherwise(-v).alias("r"), v.alias("b"))).alias("m"))
+            .select("subject_id", "first_drug_time", "kind", F.col("m.b").alias("base")))
+    change = F.when(lvef, F.col("base") - v).otherwise((v - F.col("base")) / F.abs("base"))
+    hits = (measures.join(base, ["subject_id", "kind"]).where(t > start).withColumn("change", change)
+            .where((lvef & (F.col("base") >= 50) & (F.col("change") >= 10) & (v < 50)) | (~lvef & (F.col("base") < 0) & (F.col("change") > 0.15))))
+    first = first_by(hits.withColumn("event_time", t), "subject_id", [t, F.col("kind"), -F.col("change")],
+                     ["event_time", "kind", "base", "value", "change"])
+
+    def only(kind: int, column: str) -> Column:
+        return F.when(F.col("kind") == kind, F.col(column))
+
+    values = [only(0, "base"), only(0, "value"), only(0, "change"), only(1, "base"), only(1, "value"), only(1, "change")]
+    return first.select("subject_id", F.col("event_time").alias("first_echo_event_time"),
+                        F.when(lvef, "lvef_ctrcd").otherwise("gls_subclinical").alias("first_echo_event_type"),
+                        *[c.alias(n) for c, n in zip(values, ECHO_COLUMNS[2:])])
 
 
 def combined_event(anchor: DataFrame, facts: DataFrame, echo_event: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ def decode(seqs: DataFrame, vocab: DataFrame) -> DataFrame:
     """Positions with raw token, readable label and the label with its visit."""
     from chronocohort.operators.timeline import join_fitted
 
-    rows = join_fitted(token_rows(seqs), vocab.select(F.col("id").alias("concept_id"), "token"), ["concept_id"])
+    rows = join_fitted(token_rows(seqs), vocab.select(F.col("id").alias("concept_id"), "token"), ["concept_id"], stored=True)
     token = F.coalesce("token", F.concat(F.lit("["), F.col("concept_id").cast("string"), F.lit("]")))
     label = S.token_label(F.col("token"))
     return rows.withColumn("token", token).select(

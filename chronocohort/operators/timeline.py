@@ -17,13 +17,13 @@ FITTED_ROWS = 200_000
 SALTS = 64
 
 
-def join_fitted(big: DataFrame, fitted: DataFrame, on: list[str], max_rows: int = FITTED_ROWS) -> DataFrame:
+def join_fitted(big: DataFrame, fitted: DataFrame, on: list[str], max_rows: int = FITTED_ROWS, stored: bool = False) -> DataFrame:
     """Left join to a fitted lookup (vocabulary, cut-offs) whose keys may be hot in ``big``.
 
-    The lookup is written once to the shared folder and counted.  Up to ``max_rows`` it is broadcast;
-    beyond that every key is spread over salts, so one hot key still meets its row in many tasks.
+    The lookup is written once to the shared folder (unless ``stored`` says it is) and counted.  Up to ``max_rows`` it is
+    broadcast; beyond that every key is spread over salts, so one hot key still meets its row in many tasks.
     """
-    fitted = durable(fitted)
+    fitted = fitted if stored else durable(fitted)
     if fitted.count() <= max_rows:
         return big.join(F.broadcast(fitted), on, "left")
     salted = fitted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -139,8 +139,9 @@ def vocabulary(events: DataFrame) -> DataFrame:
 
 
 def encode(events: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Token and type ids; a token outside the vocabulary becomes [UNK], an unknown type 'special'."""
+    """Token and type ids; a token outside the (stored) vocabulary becomes [UNK], an unknown type 'special'."""
     types = S.literal_map(S.TYPE_IDS)
-    return join_fitted(events, vocab.select(F.col("token").alias("concept_token"), F.col("id").alias("_id")), ["concept_token"]).select(
+    lookup = vocab.select(F.col("token").alias("concept_token"), F.col("id").alias("_id"))
+    return join_fitted(events, lookup, ["concept_token"], stored=True).select(
         *events.columns, F.coalesce("_id", F.lit(S.UNK)).alias("concept_id"),
         F.coalesce(F.try_element_at(types, F.col("event_type")), F.lit(0)).alias("type_id"))

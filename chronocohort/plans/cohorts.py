@@ -16,6 +16,7 @@ from chronocohort.operators import labels as L
 from chronocohort.operators import outcomes as O
 from chronocohort.operators import temporal as T
 from chronocohort.operators.ordering import union_all
+from chronocohort.session import durable
 
 
 @dataclass(frozen=True)
@@ -47,11 +48,24 @@ SPECS = {s.name: s for s in [
 
 
 class Cohort:
-    """Stages of one cohort over clinical tables; each stage is a lazy DataFrame."""
+    """Stages of one cohort over clinical tables; each stage is a lazy DataFrame.
+
+    The whole table uses the cohort's drug starts and index times many times.  ``stored`` writes these two
+    once (they hold only listed drugs of eligible patients) and builds on the written tables.
+    """
 
     def __init__(self, spec: CohortSpec, tables):
         self.spec, self.tables = spec, tables
 
+    @cached_property
+    def stored(self) -> "Cohort":
+        copy = Cohort(self.spec, self.tables)
+        copy.__dict__["eligible"] = self.eligible
+        copy.__dict__["starts"] = durable(self.starts)
+        copy.__dict__["anchor"] = durable(copy.anchor)
+        copy.__dict__["stored"] = copy
+        return copy
+
     @cached_property
     def eligible(self) -> DataFrame:
         return O.eligible_patients(self.tables.diagnoses)
@@ -117,6 +131,8 @@ class Cohort:
 
     @cached_property
     def table(self) -> DataFrame:
+        if self.stored is not self:
+            return self.stored.table
         s = self.spec
         event, died = ("first_event_time", "died_in_window_before_event") if s.echo else ("hf_event_time", "died_in_window_before_hf")
         return L.label_five_way(self.assemble(self.events), event, died, s.strict_history)
@@ -124,6 +140,8 @@ class Cohort:
     @cached_property
     def echo_only_table(self) -> DataFrame:
         """The optional stage: the same cycles, labelled by echo events alone."""
+        if self.stored is not self:
+            return self.stored.echo_only_table
         return L.label_five_way(self.assemble(self.echo_event), "first_echo_event_time", "died_in_window_before_echo_event").drop(
             "n_exposure_start_days_in_cycle", "n_prescription_rows_in_cycle", "window_rationale")
 
@@ -158,6 +176,15 @@ class MainCohort:
     def __init__(self, spec: MainSpec, tables, strict_reference: bool = False):
         self.spec, self.tables, self.strict_reference = spec, tables, strict_reference
 
+    @cached_property
+    def stored(self) -> "MainCohort":
+        copy = MainCohort(self.spec, self.tables, self.strict_reference)
+        copy.__dict__["drugs"] = durable(self.drugs)
+        copy.__dict__["eligible"] = durable(self.eligible)
+        copy.__dict__["anchor"] = durable(copy.anchor)
+        copy.__dict__["stored"] = copy
+        return copy
+
     @cached_property
     def drugs(self) -> DataFrame:
         return X.classify(self.tables.prescriptions, self.spec.classifier)
@@ -232,6 +259,8 @@ class MainCohort:
 
     @cached_property
     def table(self) -> DataFrame:
+        if self.stored is not self:
+            return self.stored.table
         last = self.observations.groupBy("subject_id").agg(F.max("observation_time").alias("last_observation_time"))
         cycles = T.exists_in_interval(
             self.cycles.withColumn("prediction_window_end", L.window_end()), self.observations, "observation_time",

@@ -19,12 +19,21 @@ SEQ_LEN = 64
 
 
 class Workspace(Clinic):
-    """Clinical tables plus the stages built on them.
+    """Clinical tables plus the stages built on them; one instance per job.
 
-    Stage boundaries that the pipeline writes out anyway (modelling samples, sequences, vocabulary) are written once to
-    the shared folder; everything else stays a lazy plan.
+    Stage outputs that the pipeline hands on as files (modelling samples, vocabulary, sequences) are written once per session
+    and folder and kept in ``stages``; everything else is planned anew by each job.
     """
 
+    def __init__(self, spark: SparkSession, folder: str, stages: dict | None = None):
+        super().__init__(spark, folder)
+        self.stages = {} if stages is None else stages
+
+    def stage(self, name: str, build) -> DataFrame:
+        if name not in self.stages:
+            self.stages[name] = durable(build())
+        return self.stages[name]
+
     @lru_cache(maxsize=None)
     def cohort(self, name: str) -> Cohort:
         return Cohort(SPECS[name], self)
@@ -42,10 +51,10 @@ class Workspace(Clinic):
             "subject_id", "cycle_number", "prediction_time", "binary_label", "first_event_time", "drug_classes_in_cycle", "drugs_in_cycle")
         return row_positions(Q.with_age(table, self.patients))
 
-    @cached_property
+    @property
     def samples(self) -> DataFrame:
         """Stage 1 output: the inclusive joint modelling table with age and row index."""
-        return durable(self.build_samples())
+        return self.stage("samples", self.build_samples)
 
     @cached_property
     def sample_keys(self) -> DataFrame:
@@ -55,21 +64,22 @@ class Workspace(Clinic):
     def timeline(self, options: TL.TimelineOptions = TL.TimelineOptions()) -> DataFrame:
         return TL.timeline(self, self.samples, options)
 
-    @cached_property
+    @property
     def vocab(self) -> DataFrame:
-        return durable(TL.vocabulary(self.timeline()))
+        return self.stage("vocab", lambda: TL.vocabulary(self.timeline()))
 
     @property
     def encoded(self) -> DataFrame:
         return TL.encode(self.timeline(), self.vocab)
 
     def build_sequences(self, **options) -> DataFrame:
-        return Q.sequences(self.sample_keys, self.encoded, options.pop("max_seq_len", SEQ_LEN), **options)
+        """Sequences from the encoded timeline, which is written first because three branches read it."""
+        return Q.sequences(self.sample_keys, durable(self.encoded), options.pop("max_seq_len", SEQ_LEN), **options)
 
-    @cached_property
+    @property
     def sequences(self) -> DataFrame:
         """Stage 2 output: plain sequences, written once for the users of stage 2."""
-        return durable(self.build_sequences())
+        return self.stage("sequences", self.build_sequences)
 
     @cached_property
     def splits(self) -> DataFrame:
@@ -120,10 +130,9 @@ class Workspace(Clinic):
             F.expr("-CAST(l_partkey % 400 AS DOUBLE)").alias("days_before"))
 
 
-@lru_cache(maxsize=None)
-def _workspace(spark: SparkSession, folder: str, application: str) -> Workspace:
-    return Workspace(spark, folder)
+_STAGES: dict[tuple[str, str], dict] = {}
 
 
 def workspace(spark: SparkSession, folder: str) -> Workspace:
-    return _workspace(spark, folder, spark.sparkContext.applicationId)
+    """A new job's workspace; jobs of one session over one folder share its stage outputs."""
+    return Workspace(spark, folder, _STAGES.setdefault((spark.sparkContext.applicationId, folder), {}))

@@ -50,6 +50,11 @@ def output_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write a stage output to the shared folder and go on from there.
+
+    The lineage ends here, so a lost executor costs no recomputation; as a parquet table it can also be
+    pruned by column, and later joins are planned with its true size.
+    """
+    path = output_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

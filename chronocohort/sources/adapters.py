@@ -36,7 +36,8 @@ class Clinic:
 
     @cached_property
     def lines(self) -> DataFrame:
-        orders = self.raw("orders").select("o_orderkey", "o_custkey")
+        # both sides grow with the data, so neither is broadcast; the sort-merge join can spill
+        orders = self.raw("orders").select("o_orderkey", "o_custkey").hint("merge")
         return self.raw("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
     @cached_property
