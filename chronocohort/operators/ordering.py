@@ -22,14 +22,16 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int = HEAVY_ROWS) -> D
 
 
 def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, name: str,
-                  limit: int = HEAVY_ROWS) -> DataFrame:
+                  limit: int = HEAVY_ROWS, heavy_by: Sequence[str] | None = None) -> DataFrame:
     """Exact 1-based position of each row within its key.
 
-    ``chunk`` must not decrease along ``order``.  Only heavy keys are cut into chunks; for all others
-    the chunk is NULL and the window is the ordinary one.
+    ``chunk`` must not be NULL and must not decrease along ``order``.  Only heavy keys are cut into chunks; for all
+    others the chunk is NULL and the window is the ordinary one.  When keys are nearly unique, ``heavy_by`` names
+    fewer columns to look for heavy groups: a key can only be heavy inside a heavy coarser group.
     """
-    hot = heavy_keys(df, keys, limit).withColumn("_hot", F.lit(True))
-    marked = df.join(F.broadcast(hot), list(keys), "left").withColumn("_chunk", F.when(F.col("_hot"), chunk)).drop("_hot")
+    by = list(heavy_by or keys)
+    hot = heavy_keys(df, by, limit).withColumn("_hot", F.lit(True))
+    marked = df.join(F.broadcast(hot), by, "left").withColumn("_chunk", F.when(F.col("_hot"), chunk)).drop("_hot")
     totals = marked.where(F.col("_chunk").isNotNull()).groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_chunk", F.sum("_n").over(earlier).alias("_before"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronocohort.functions import scalars as S
+from chronocohort.operators.ordering import running_index
 from chronocohort.session import durable
 
 SAMPLE = ["subject_id", "cycle_number"]
@@ -23,6 +24,16 @@ def order_within_patient() -> list[Column]:
     return [visit_rank(), F.col("event_time"), F.col("event_type"), F.col("event_priority"), F.col("concept_token")]
 
 
+def placed(encoded: DataFrame) -> DataFrame:
+    """Encoded events with their place in the patient's total order, and only what sequences need.
+
+    The five-column order is sorted once per event here, not once per sample and event later.
+    """
+    chunk = F.struct(visit_rank().alias("v"), F.date_trunc("HOUR", "event_time").alias("h"))
+    return running_index(encoded, ["subject_id"], order_within_patient(), chunk, "place").select(
+        "subject_id", "visit_id", "event_time", "place", "concept_id", "type_id")
+
+
 def visit_spans(samples: DataFrame, events: DataFrame, keep: int) -> DataFrame:
     """Per sample the visits with any earlier event, and which of them must be read.
 
@@ -38,16 +49,21 @@ def visit_spans(samples: DataFrame, events: DataFrame, keep: int) -> DataFrame:
     return spans.withColumn("needed", ~F.col("whole") | (sure < keep))
 
 
-def cumulative_rows(samples: DataFrame, events: DataFrame, keep: int) -> DataFrame:
-    """Events strictly before the index time of each sample, from the needed visits only."""
-    spans = visit_spans(samples, events, keep).where("needed").select(*SAMPLE, "prediction_time", "visit_id", "whole")
-    return events.join(spans, ["subject_id", "visit_id"]).where("event_time < prediction_time")
+def rows_before(spans: DataFrame, events: DataFrame) -> DataFrame:
+    """Events of the given (sample, visit) pairs strictly before the index time."""
+    return (events.join(spans.select(*SAMPLE, "prediction_time", "visit_id", "whole"), ["subject_id", "visit_id"])
+            .where("event_time < prediction_time"))
 
 
 def _struct(concept: Column, kind: Column, visit: Column, date: Column) -> Column:
     return F.struct(concept.cast("int").alias("c"), kind.cast("int").alias("t"), visit.cast("int").alias("v"), date.cast("int").alias("d"))
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _with_insertions(rows: Column, gaps: bool, delimiters: bool) -> Column:
     """For each event the tokens it brings: close the previous visit, gap, open this one, itself, close the last."""
     special = F.lit(0)
@@ -79,38 +95,48 @@ def sequences(samples: DataFrame, encoded: DataFrame, max_seq_len: int = MAX_SEQ
 
     Insertions only add tokens, so the kept tokens lie within the newest max_seq_len - 1 events; one more event is
     read for the visit change at the cut.  The row_number limit is applied before the shuffle as well
-    (window group limit), so a task holds at most max_seq_len rows per sample.
+    (window group limit), so a task holds at most max_seq_len rows per sample.  The encoded events and the visit spans are
+    stored, because the tail, the counts and the totals all read them.
     """
     keep = max_seq_len - 1
-    rows = cumulative_rows(samples, encoded, keep + 1)
-    newest = Window.partitionBy(*SAMPLE).orderBy(*[c.desc() for c in order_within_patient()])
+    events = durable(encoded)
+    spans = durable(visit_spans(samples, events, keep + 1))
+    rows = rows_before(spans.where("needed"), placed(events))
+    newest = Window.partitionBy(*SAMPLE).orderBy(F.desc("place"))
     tail = (rows.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= keep + 1)
             .groupBy(*SAMPLE).agg(F.array_sort(F.collect_list(F.struct(
-                (-F.col("rn")).alias("o"), F.col("concept_id").alias("c"), F.col("type_id").alias("t"),
+                F.col("place"), F.col("concept_id").alias("c"), F.col("type_id").alias("t"),
                 F.col("visit_id").alias("v"), S.days_since_epoch(F.col("event_time")).alias("d")))).alias("rows")))
-    pieces = _with_insertions(F.col("rows"), gaps, delimiters)
-    pieces = F.when(F.size("rows") > keep, F.slice(pieces, 2, keep)).otherwise(pieces)
-    tail = tail.withColumn("body", F.flatten(pieces))
-    tail = tail.withColumn("body", F.expr(f"slice(body, greatest(size(body) - {keep} + 1, 1), {keep})"))
-
-    spans = visit_spans(samples, encoded, keep + 1)
-    straddled = (rows.where("NOT whole").groupBy(*SAMPLE).agg(F.count("*").alias("n_straddled")))
+    if gaps or delimiters:
+        pieces = _with_insertions(F.col("rows"), gaps, delimiters)
+        pieces = _bind(pieces, lambda p: F.slice(p, F.when(F.size("rows") > keep, 2).otherwise(1), F.lit(keep)))
+        body = _bind(F.flatten(pieces), lambda b: F.slice(b, F.greatest(F.size(b) - keep + 1, F.lit(1)), F.lit(keep)))
+    else:
+        newest_rows = F.slice("rows", F.greatest(F.size("rows") - keep + 1, F.lit(1)), F.lit(keep))
+        body = F.transform(newest_rows, lambda x: _struct(x["c"], x["t"], x["v"], x["d"]))
+    tail = tail.withColumn("body", body)
+
+    straddled = rows_before(spans.where("NOT whole"), events).groupBy(*SAMPLE).agg(F.count("*").alias("n_straddled"))
     visits = F.sum(F.when(F.col("visit_id") != 0, 1).otherwise(0))
     totals = spans.groupBy(*SAMPLE).agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("n_whole"), visits.alias("n_visits"))
 
-    cls = F.array(_struct(F.lit(S.CLS), F.lit(0), F.lit(0), S.days_since_epoch(F.col("prediction_time"))))
-    out = (samples.join(totals, SAMPLE, "left").join(straddled, SAMPLE, "left").join(tail.select(*SAMPLE, "body"), SAMPLE, "left")
-           .withColumn("tokens", F.coalesce(F.concat(cls, "body"), cls)))
-    n_visits = F.coalesce("n_visits", F.lit(0))
+    out = samples.join(totals, SAMPLE, "left").join(straddled, SAMPLE, "left").join(tail.select(*SAMPLE, "body"), SAMPLE, "left")
+
+    def after_cls(part: str, first: Column) -> Column:
+        head = F.array(first.cast("int"))
+        return F.coalesce(F.concat(head, F.col("body")[part]), head)
+
+    index_day = S.days_since_epoch(F.col("prediction_time"))
+    n_visits, n_body = F.coalesce("n_visits", F.lit(0)), F.when(F.col("body").isNull(), 0).otherwise(F.size("body"))
     raw = F.lit(1) + F.coalesce("n_whole", F.lit(0)) + F.coalesce("n_straddled", F.lit(0))
     if delimiters:
         raw = raw + n_visits * 2
     if gaps:
         raw = raw + F.greatest(n_visits - 1, F.lit(0))
     return out.select(
-        *samples.columns, F.col("tokens.c").alias("concept_ids"), F.col("tokens.t").alias("type_ids"),
-        F.col("tokens.v").alias("visit_ids"), F.sequence(F.lit(0), F.size("tokens") - 1).alias("position_ids"),
-        F.col("tokens.d").alias("dates"), F.size("tokens").alias("seq_len"), raw.cast("int").alias("raw_seq_len"))
+        *samples.columns, after_cls("c", F.lit(S.CLS)).alias("concept_ids"), after_cls("t", F.lit(0)).alias("type_ids"),
+        after_cls("v", F.lit(0)).alias("visit_ids"), F.sequence(F.lit(0), n_body).alias("position_ids"),
+        after_cls("d", index_day).alias("dates"), (n_body + 1).alias("seq_len"), raw.cast("int").alias("raw_seq_len"))
 
 
 def with_age(samples: DataFrame, patients: DataFrame) -> DataFrame:

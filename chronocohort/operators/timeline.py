@@ -66,8 +66,9 @@ def medication_rows(prescriptions: DataFrame, visit_rows: DataFrame) -> DataFram
     """Dated prescriptions of cohort admissions with the normalised name and 0-based order within a start time."""
     rows = (prescriptions.where("starttime IS NOT NULL").join(_stay(visit_rows), "hadm_id")
             .withColumn("drug_norm", F.trim(F.lower(F.coalesce("drug", F.lit("nan"))))))
-    ranked = running_index(rows, ["subject_id", "hadm_id", "starttime"], [F.col("pharmacy_id"), F.col("drug_norm")],
-                           F.floor(F.col("pharmacy_id") / 4096), "_rank")
+    number = F.coalesce("pharmacy_id", F.lit(-1))
+    ranked = running_index(rows, ["subject_id", "hadm_id", "starttime"], [number, F.col("drug_norm")], F.floor(number / 4096), "_rank",
+                           heavy_by=["hadm_id"])
     return ranked.withColumn("event_priority", (F.col("_rank") - 1).cast("int")).drop("_rank")
 
 

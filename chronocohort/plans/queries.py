@@ -23,7 +23,7 @@ from chronocohort.operators import temporal as T
 from chronocohort.operators import timeline as TL
 from chronocohort.operators.ordering import exact_quantiles, running_index, union_all
 from chronocohort.plans.workspace import SEQ_LEN, Workspace, workspace
-from chronocohort.session import output_path
+from chronocohort.session import durable, output_path
 from chronocohort.sources import readers, schemas, sinks
 
 REGISTRY: dict[str, Callable[[Workspace], DataFrame]] = {}
@@ -304,10 +304,14 @@ def join_day_expand(ws):
 
 @query
 def join_cumulative_window(ws):
-    return Q.visit_spans(ws.sample_keys, ws.timeline(), 2**31 - 1).where("needed").drop("needed", "prediction_time").join(
-        Q.cumulative_rows(ws.sample_keys, ws.timeline(), 2**31 - 1).groupBy(*Q.SAMPLE, "visit_id").agg(
-            F.count("*").alias("n_before"), F.max("event_time").alias("last_before")), [*Q.SAMPLE, "visit_id"]).select(
-        *Q.SAMPLE, "visit_id", "n_before", "last_before", F.col("whole").cast("int").alias("whole"))
+    """Events before each index time per sample and visit: whole visits from their summary, straddling ones from their rows."""
+    events = durable(ws.timeline())
+    spans = Q.visit_spans(ws.sample_keys, events, 2**31 - 1)
+    cut = Q.rows_before(spans.where("NOT whole"), events).groupBy(*Q.SAMPLE, "visit_id").agg(
+        F.count("*").alias("n_cut"), F.max("event_time").alias("last_cut"))
+    return spans.join(cut, [*Q.SAMPLE, "visit_id"], "left").select(
+        *Q.SAMPLE, "visit_id", F.coalesce("n_cut", "n").alias("n_before"), F.coalesce("last_cut", "hi").alias("last_before"),
+        F.col("whole").cast("int").alias("whole"))
 
 
 @query
@@ -574,8 +578,9 @@ def sort_export(ws):
 
 @query
 def sort_timeline(ws):
-    rows = ws.timeline().withColumn("one", F.lit(1))
-    ranked = running_index(rows, ["subject_id"], Q.order_within_patient(), Q.visit_rank(), "place")
+    rows = ws.timeline()
+    chunk = F.struct(Q.visit_rank().alias("v"), F.date_trunc("HOUR", "event_time").alias("h"))
+    ranked = running_index(rows, ["subject_id"], Q.order_within_patient(), chunk, "place")
     return ranked.select("subject_id", "visit_id", "event_time", "event_type", "event_priority", "concept_token", "place")
 
 
@@ -933,7 +938,7 @@ def split_check(ws):
 
 
 def _clinical(ws):
-    return FE.clinical(ws.sample_keys, ws.cohort("uniform_365").table, ws.baselines)
+    return FE.clinical(ws.sample_keys, ws.cohort_table, ws.baselines)
 
 
 @query

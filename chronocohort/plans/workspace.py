@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronocohort.operators import sequence as Q
 from chronocohort.operators import timeline as TL
+from chronocohort.operators.labels import binary_table
 from chronocohort.operators.outcomes import echo_baselines
 from chronocohort.operators.split import row_positions, split_patients
 from chronocohort.plans.cohorts import MAIN_SPECS, SPECS, Cohort, MainCohort, YearMaster
@@ -59,14 +60,19 @@ class Workspace(Clinic):
     def year(self) -> YearMaster:
         return YearMaster(self)
 
+    @property
+    def cohort_table(self) -> DataFrame:
+        """Stage 1 output: the full joint modelling table."""
+        return self.stage("cohort_table", lambda: self.cohort("uniform_365").table)
+
     def build_samples(self) -> DataFrame:
-        table = self.cohort("uniform_365").inclusive.select(
+        table = binary_table(self.cohort_table, "eligible_inclusive").select(
             "subject_id", "cycle_number", "prediction_time", "binary_label", "first_event_time", "drug_classes_in_cycle", "drugs_in_cycle")
         return row_positions(Q.with_age(table, self.patients))
 
     @property
     def samples(self) -> DataFrame:
-        """Stage 1 output: the inclusive joint modelling table with age and row index."""
+        """Stage 1 output: the inclusive rows with age and row index."""
         return self.stage("samples", self.build_samples)
 
     @cached_property
@@ -86,8 +92,7 @@ class Workspace(Clinic):
         return TL.encode(self.timeline(), self.vocab)
 
     def build_sequences(self, **options) -> DataFrame:
-        """Sequences from the encoded timeline, which is written first because three branches read it."""
-        return Q.sequences(self.sample_keys, durable(self.encoded), options.pop("max_seq_len", SEQ_LEN), **options)
+        return Q.sequences(self.sample_keys, self.encoded, options.pop("max_seq_len", SEQ_LEN), **options)
 
     @property
     def sequences(self) -> DataFrame:

@@ -27,6 +27,15 @@ def test_running_index_cuts_heavy_keys(spark):
             assert place[d[2]] == n
 
 
+def test_running_index_with_coarser_heavy_groups(spark):
+    data = [(h, t, i) for i, (h, t) in enumerate((1 if n % 2 else n % 9, n % 3) for n in range(900))]
+    df = spark.createDataFrame(data, "h int, t int, i int")
+    chunk = F.struct((F.col("i") / 100).cast("int").alias("a"), F.lit(0).alias("b"))
+    place = {r["i"]: r["place"] for r in running_index(df, ["h", "t"], [F.col("i")], chunk, "place", limit=50, heavy_by=["h"]).collect()}
+    for key in {d[:2] for d in data}:
+        assert [place[d[2]] for d in data if d[:2] == key] == list(range(1, sum(d[:2] == key for d in data) + 1))
+
+
 def test_prefix_sums(spark):
     data = skewed()
     got = prefix_sums(spark.createDataFrame(data, "k int, v double, i int").withColumn("one", F.lit(1)), [], [F.col("v"), F.col("i")], magnitude_chunk(F.col("v")), {"n": "one"})
