@@ -111,10 +111,10 @@ def sequences(samples: DataFrame, encoded: DataFrame, max_seq_len: int = MAX_SEQ
         pieces = _with_insertions(F.col("rows"), gaps, delimiters)
         pieces = _bind(pieces, lambda p: F.slice(p, F.when(F.size("rows") > keep, 2).otherwise(1), F.lit(keep)))
         body = _bind(F.flatten(pieces), lambda b: F.slice(b, F.greatest(F.size(b) - keep + 1, F.lit(1)), F.lit(keep)))
+        # one-element explode: without a node in between, each output array would evaluate the insertions again
+        tail = tail.select(*SAMPLE, F.explode(F.array(body)).alias("body"))
     else:
-        newest_rows = F.slice("rows", F.greatest(F.size("rows") - keep + 1, F.lit(1)), F.lit(keep))
-        body = F.transform(newest_rows, lambda x: _struct(x["c"], x["t"], x["v"], x["d"]))
-    tail = tail.withColumn("body", body)
+        tail = tail.withColumn("body", F.slice("rows", F.greatest(F.size("rows") - keep + 1, F.lit(1)), F.lit(keep)))
 
     straddled = rows_before(spans.where("NOT whole"), events).groupBy(*SAMPLE).agg(F.count("*").alias("n_straddled"))
     visits = F.sum(F.when(F.col("visit_id") != 0, 1).otherwise(0))
