@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronocohort.llm.base import raw_texts, small_batches
 
@@ -65,7 +66,7 @@ def measure(data: bytes) -> tuple[int, ...]:
     return n, points, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, letters, data.count(b"!"), short
 
 
-@F.arrow_udf(", ".join(f"{f} long" for f in FIELDS))
+@F.arrow_udf(T.StructType([T.StructField(f, T.LongType()) for f in FIELDS]))
 def _measures(texts: pa.Array) -> pa.Array:
     rows = [measure(x) for x in raw_texts(texts)]
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(FIELDS))], names=FIELDS)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chronocohort.llm.base import raw_texts, small_batches
 from chronocohort.session import durable
@@ -54,7 +55,7 @@ def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
     return _signed([fingerprint(x) for x in raw_texts(texts)])
 
