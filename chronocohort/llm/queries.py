@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronocohort.llm import bpe, extraction, ledger, mixing, permutation, quality, sharding, simhash, warc
+from chronocohort.llm import bpe, extraction, ledger, mixing, permutation, quality, recompression, sharding, simhash, warc
 from chronocohort.llm.base import table
 from chronocohort.session import durable, output_path, tune
 
@@ -120,3 +120,9 @@ def op4_permutation(spark, sf_dir):
 def op7_main_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return pages.select("page_id", "url", extraction.main_text(spark).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op9_recompression(spark, sf_dir):
+    kept = recompression.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
