@@ -73,8 +73,13 @@ def op3_secrets(spark, sf_dir):
     book = ledger.Ledger(spark, output_path(spark, "ledger"))
     found = ledger.join_back(ledger.scan(docs, book, ["doc_id"]), book)
     spans = F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    count = {f"n_{k}": F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long") for k in ("assign", "access", "hex")}
-    return found.withColumns(count).withColumn("spans", spans).select("doc_id", *count, F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
+    def count(kind: str):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = {f"n_{k}": count(k) for k in ("assign", "access", "hex")}
+    return found.withColumns(counts).withColumn("spans", spans).select("doc_id", *counts, F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""

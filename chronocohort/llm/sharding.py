@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from chronocohort.session import durable
 
 DIM_BITS, HASH_BITS = 16, 46
-BINS = 256
+BINS = 2048
 CHUNKS = 256
 OVERHEAD = 16  # bytes a row counts besides its text
 
@@ -45,41 +45,41 @@ def _key(dim: Column) -> Column:
     return F.element_at("dims", dim + 1) * F.lit(1 << HASH_BITS) + F.col("tie")
 
 
-def _route(node: Column, splits: dict[int, tuple[int, int]]) -> Column:
-    """The node after one round: 2v for rows of node v below the split's bound, else 2v + 1."""
-    if not splits:
-        return node * 2
-    table = F.create_map(*[F.lit(x) for v, (dim, bound) in sorted(splits.items()) for x in (v, F.struct(F.lit(dim).alias("dim"), F.lit(bound).cast("long").alias("bound")))])
-    cut = F.element_at(table, node)
-    return F.when(cut.isNull(), node * 2).otherwise(node * 2 + (_key(cut["dim"]) >= cut["bound"]).cast("int"))
+def _small(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of at most as many rows as there are shards."""
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+
+
+def _route(df: DataFrame, splits: dict[int, tuple[int, int]]) -> DataFrame:
+    """The nodes after one round: 2v for rows of node v below the split's bound, else 2v + 1."""
+    cuts = _small(df, [(v, d, bound) for v, (d, bound) in splits.items()], "node int, dim int, bound long")
+    above = F.coalesce(_key(F.col("dim")) >= F.col("bound"), F.lit(False)).cast("int")
+    return df.join(cuts, "node", "left").withColumn("node", F.col("node") * 2 + above).drop("dim", "bound")
 
 
 def _quantiles(df: DataFrame, want: dict[int, tuple[int, int, int, int]], slack: float) -> dict[int, int]:
     """For each node, (dim, low, high, bytes) the least key bound so that about ``bytes`` lie below it."""
     done: dict[int, int] = {}
     while want:
-        plan = F.create_map(*[F.lit(x) for v, (d, lo, hi, _) in sorted(want.items()) for x in (v, F.struct(F.lit(d).alias("d"), F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi"), F.lit(max(1, -(-(hi - lo + 1) // BINS))).cast("long").alias("step")))])
-        part = df.withColumn("w", F.element_at(plan, F.col("node"))).where("w is not null").withColumn("k", _key(F.col("w")["d"])).where("k >= w.lo and k <= w.hi")
+        step = {v: -(-(hi - lo + 1) // BINS) for v, (_, lo, hi, _) in want.items()}
+        cuts = _small(df, [(v, d, lo, hi, step[v]) for v, (d, lo, hi, _) in want.items()], "node int, dim int, lo long, hi long, step long")
+        part = df.join(cuts, "node").select("node", "size", "lo", "hi", "step", _key(F.col("dim")).alias("k")).where("k between lo and hi")
         found: dict[int, dict[int, int]] = {}
-        for r in part.groupBy("node", F.expr("(k - w.lo) div w.step").cast("int").alias("bin")).agg(F.sum("size").alias("bytes")).collect():  # at most nodes * BINS rows
+        for r in part.groupBy("node", F.expr("int((k - lo) div step)").alias("bin")).agg(F.sum("size").alias("bytes")).collect():  # at most nodes * BINS rows
             found.setdefault(r["node"], {})[r["bin"]] = r["bytes"]
         after = {}
         for v, (d, lo, hi, left) in want.items():
-            step = max(1, -(-(hi - lo + 1) // BINS))
-            bound = hi + 1
+            done[v] = hi + 1
             for b in sorted(found.get(v, {})):
                 held = found[v][b]
-                if held > left:
-                    start, end = lo + b * step, min(hi, lo + (b + 1) * step - 1)
-                    if step > 1 and held > slack:
-                        after[v] = (d, start, end, left)
-                        bound = None
-                    else:
-                        bound = start if 2 * left < held else end + 1
-                    break
-                left -= held
-            if bound is not None:
-                done[v] = bound
+                if held <= left:
+                    left -= held
+                    continue
+                start, end = lo + b * step[v], min(hi, lo + (b + 1) * step[v] - 1)
+                done[v] = start if 2 * left < held else end + 1
+                if step[v] > 1 and held > slack:
+                    after[v] = (d, start, end, left)
+                break
         want = after
     return done
 
@@ -101,10 +101,10 @@ def assign(table: DataFrame, shards: int, slack_share: float = 0.0005) -> DataFr
                 lo, hi = stats[v]["s"][d]["lo"] << HASH_BITS, ((stats[v]["s"][d]["hi"] + 1) << HASH_BITS) - 1
                 want[v] = (d, lo, hi, stats[v]["bytes"] * (leaves[v] // 2) // leaves[v])
         bounds = _quantiles(df, dict(want), whole / shards * slack_share)
-        df = df.withColumn("node", _route(F.col("node"), {v: (want[v][0], bounds[v]) for v in want}))
+        df = durable(_route(df, {v: (want[v][0], bounds[v]) for v in want}))
         leaves = {c: n for v, k in leaves.items() for c, n in (((2 * v, k // 2), (2 * v + 1, k - k // 2)) if k > 1 else ((2 * v, 1),))}
-    numbers = F.create_map(*[F.lit(x) for i, v in enumerate(sorted(leaves)) for x in (v, i)])
-    return df.withColumn("shard", F.element_at(numbers, F.col("node"))).drop("node")
+    numbers = _small(df, [(v, i) for i, v in enumerate(sorted(leaves))], "node int, shard int")
+    return df.join(numbers, "node").drop("node")
 
 
 def slots(assigned: DataFrame) -> DataFrame:
