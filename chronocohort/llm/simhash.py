@@ -201,7 +201,7 @@ def components(links_: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame) -> DataFrame:
-    """``prints`` (doc_id, fp) with ``component_id``, the smallest doc_id that links of at most four bits reach.
+    """``prints`` (doc_id, fp) with ``root``, the component's name, and ``component_id``, the smallest doc_id that links of at most four bits reach.
 
     Documents without words have fingerprint 0 and link like any other.  A null doc_id never names a component unless all ids in it are null,
     then component_id is null.  Repeated rows come out as often as they go in.  An empty table gives an empty result.
@@ -210,5 +210,10 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     roots = components(edges(nodes)).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     classes = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = named.join(classes, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp")
+    return prints.join(named.join(classes, "root").select("fp", "root", "component_id"), "fp")
+
+
+def survivors(near: DataFrame) -> DataFrame:
+    """(doc_id, fp) of the one document that stays of each component: the smallest doc_id, null last, and of its rows the smallest fingerprint."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("first")
+    return near.groupBy("root").agg(first).select("first.doc_id", "first.fp")
