@@ -95,7 +95,7 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= DISTANCE
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= DISTANCE  # of signed numbers it would count the absolute value
 
 
 def _spread(run: np.ndarray, cells: int = 1 << 20) -> tuple[list[np.ndarray], list[np.ndarray]]:
