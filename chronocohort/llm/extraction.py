@@ -4,7 +4,7 @@ Markup is stripped into lines, one for each block of the page; what cannot be ma
 footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) leaves a gap of empty lines, and so do the borders of an
 article.  Text lengths are summed over sliding windows of lines.  The text surges where a window passes the threshold and dives where windows
 are empty; the lines between the dives around each surge are kept.  If no window passes the threshold, the largest one takes its place.  If a page marks its
-article, surges outside are not main text; else regions that are mostly links are left out.
+article, surges outside are not main text; else lines that are mostly links count as empty.
 
 Character references are decoded once, white space in a block becomes one space, blocks are joined by a newline.  A null html counts as
 empty; an empty page, or one without text, gives the empty text.  Repeated rows are extracted alike; very long pages are read whole.  An empty table gives an empty
@@ -155,17 +155,12 @@ def regions(sizes: list[int]) -> list[tuple[int, int]]:
 def extract(page: str) -> str:
     """The main text of one page."""
     found = lines(page)
-    if any(text and inside for text, _, inside in found):
+    marked = any(text and inside for text, _, inside in found)
+    if marked:
         found = [x if x[2] else ("", 0, False) for x in found]
-        marked = True
-    else:
-        marked = False
-    kept = []
-    for first, stop in regions([len(text) for text, _, _ in found]):
-        part = [x for x in found[first:stop] if x[0]]
-        if marked or 2 * sum(x[1] for x in part) <= sum(len(x[0]) for x in part):
-            kept += [x[0] for x in part]
-    return "\n".join(kept)
+    # Where no article is marked, lines that are mostly links count as empty.
+    sizes = [0 if not marked and 2 * links > len(text) else len(text) for text, links, _ in found]
+    return "\n".join(text for first, stop in regions(sizes) for text, _, _ in found[first:stop] if text)
 
 
 @F.arrow_udf(T.StringType())
