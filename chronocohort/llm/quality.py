@@ -41,6 +41,11 @@ RULES = [
 ]
 
 
+#: What rules are expected to say of good documents (bad, abstain, good), and how much that counts against what they say: a share of all
+#: documents, so that corpora of any size are treated alike.
+EXPECTED, STRENGTH = (0.01, 0.09, 0.9), 0.3
+
+
 def measure(data: bytes) -> tuple[int, ...]:
     """The figures named in FIELDS for one text in UTF-8."""
     words = data.split()
@@ -93,7 +98,8 @@ def fit(counts: dict[str, int], rounds: int = 200, tolerance: float = 1e-9) -> d
     """Posterior probability of good for each vote pattern, by expectation-maximisation over the counts.
 
     Start: a document that no rule calls bad is good with 0.95, one call makes it 0.3, more 0.05.  Every rule's rates are smoothed by a tenth
-    of a document and tied to their meaning: it calls bad documents bad at least as often as good ones.
+    of a document, those on good documents also by what is expected there, and tied to their meaning: a rule calls bad documents bad at
+    least as often as good ones.
     """
     if not counts:
         return {}
@@ -105,8 +111,8 @@ def fit(counts: dict[str, int], rounds: int = 200, tolerance: float = 1e-9) -> d
     good = np.where(bad_calls == 0, 0.95, np.where(bad_calls == 1, 0.3, 0.05))
     for _ in range(rounds):
         rates = []
-        for p in (1 - good, good):
-            seen = np.einsum("p,prv->rv", weight * p, one_hot) + 0.1
+        for p, before in ((1 - good, 0.1), (good, 0.1 + STRENGTH * weight.sum() * np.array(EXPECTED))):
+            seen = np.einsum("p,prv->rv", weight * p, one_hot) + before
             rates.append(seen / seen.sum(1, keepdims=True))
         turned = rates[0][:, 0] < rates[1][:, 0]
         rates[0][turned] = rates[1][turned] = (rates[0][turned] + rates[1][turned]) / 2
