@@ -86,7 +86,7 @@ def mix(sized: DataFrame, seed: int = 0, **shares) -> DataFrame:
     plain = rows.where("not cut").withColumn("extra", F.when(F.coalesce(F.col("before") < F.col("budget"), F.lit(False)), F.col("size")).otherwise(0))
     out = plain.unionByName(ordered).withColumn("extra", F.col("extra").cast("long"))
     full = (F.col("extra") == F.col("size")) & (F.col("size") > 0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + full.cast("long")).alias("copies"), F.when(full, 0).otherwise(F.col("extra")).alias("part"), (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + full.cast("long")).otherwise(0).alias("copies"), F.when(full, 0).otherwise(F.col("extra")).alias("part"), (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 ORACLE = r"""
