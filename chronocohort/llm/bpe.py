@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,7 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 SLICE = 1 << 21  # characters of text in work at once
 WORDS = 1 << 18  # words of a long text in work at once
-KEPT = 1 << 18  # distinct words remembered
+KEPT = 1 << 18  # distinct words in each half of the memory
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,8 +41,8 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class Vocabulary:
-    """Tokens, merges and added tokens of a tokenizer file in JSON."""
+class Pieces:
+    """The bytes of each token of a tokenizer file in JSON; enough to decode."""
 
     def __init__(self, source: str):
         spec = json.loads(source)
@@ -49,17 +51,45 @@ class Vocabulary:
             raise ValueError("only byte-level BPE without normalizer and prefix space is supported")
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens that take in their surroundings are not supported")
-        letter = byte_letters()
-        self.ids = {bytes(letter[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
+        self.spec, letter = spec, byte_letters()
+        self.ids = {bytes(map(letter.__getitem__, t)): i for t, i in spec["model"]["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.longest = max(map(len, self.ids))
         self.size = 1 + max([*self.ids.values(), *self.added.values()])
+        flat = {i: b for b, i in self.ids.items()} | {i: c.encode() for c, i in self.added.items()}
+        pieces = [flat.get(i, b"") for i in range(self.size)]
+        self.length = np.array([len(p) for p in pieces], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def decode(self, ids: np.ndarray, step: int = 1 << 18) -> str:
+        parts = []
+        ids = ids[(ids >= 0) & (ids < self.size)]
+        for at in range(0, len(ids), step):
+            some = ids[at : at + step]
+            length = self.length[some]
+            ends = np.cumsum(length)
+            parts.append(self.bytes[np.repeat(self.start[some] - ends + length, length) + np.arange(ends[-1])].tobytes())
+        return b"".join(parts).decode("utf-8", "replace")
+
+
+class Vocabulary(Pieces):
+    """Tokens and merges of a tokenizer file in JSON."""
+
+    def __init__(self, source: str):
+        super().__init__(source)
+        spec = self.spec
+        self.longest = ahocorasick.Automaton()
+        for t, i in self.ids.items():
+            self.longest.add_word(t.decode("latin-1"), i)
+        self.longest.make_automaton()
         known = spec["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         left = np.array([known[a] for a, _ in pairs], np.int64)
         right = np.array([known[b] for _, b in pairs], np.int64)
         made = np.array([known[a + b] for a, b in pairs], np.int64)
-        self.merges = {(a, b): (r, t) for r, (a, b, t) in enumerate(zip(left.tolist(), right.tolist(), made.tolist()))}
+        self.made = made.tolist()
+        self.ranks = {k: r for r, k in enumerate((left * self.size + right).tolist())}
+        self.single = [self.ids[bytes([b])] for b in range(256)]
         self.rank = np.full(self.size, -1)  # of the merge that makes a token; base tokens have none
         self.left, self.right = np.full(self.size, -1), np.full(self.size, -1)
         self.rank[made], self.left[made], self.right[made] = np.arange(len(made)), left, right
@@ -68,11 +98,6 @@ class Vocabulary:
         # The test of pairs needs merges to come after those that make their parts.
         self.ordered = bool((self.rank[left] < np.arange(len(made))).all() and (self.rank[right] < np.arange(len(made))).all() and len(np.unique(made)) == len(made))
         self.sound = self._sound(made, left, right)
-        flat = {i: b for b, i in self.ids.items()} | {i: c.encode() for c, i in self.added.items()}
-        pieces = [flat.get(i, b"") for i in range(self.size)]
-        self.length = np.array([len(p) for p in pieces], np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair; beyond all ranks where there is none."""
@@ -114,59 +139,73 @@ class Vocabulary:
             sound[t] = ok and sound[a] and sound[b]
         return sound
 
-    def propose(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        out, at, end, ids = [], 0, len(word), self.ids
-        while at < end:
-            stop = min(end, at + self.longest)
-            while (token := ids.get(word[at:stop])) is None:
-                stop -= 1
-                if stop == at:
-                    raise ValueError("a byte has no token")
-            out.append(token)
-            at = stop
-        return out
+    def propose(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest matches of all words: tokens, and the word of each.  Words are kept apart by a letter that stands for no byte."""
+        found = list(self.longest.iter_long("\u0100".join([w.decode("latin-1") for w in words])))
+        end, token = np.array(found, np.int64).reshape(-1, 2).T
+        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        return token, np.searchsorted(stops, end, "right")
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: the merge of lowest rank first, from the left."""
-        token = [self.ids[word[i : i + 1]] for i in range(len(word))]
-        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
-        heap = [(*self.merges[p], i, *p) for i, p in enumerate(zip(token, token[1:])) if p in self.merges]
-        heap = [(r, i, t, a, b) for r, t, i, a, b in heap]
-        heapq.heapify(heap)
+        if len(word) > 64:
+            return self._merge_long(word)
+        ranks, size, made, none = self.ranks, self.size, self.made, len(self.made)
+        token = [self.single[b] for b in word]
+        rank = [ranks.get(a * size + b, none) for a, b in zip(token, token[1:])]
+        while rank and (r := min(rank)) < none:
+            i = rank.index(r)
+            t = token[i] = made[r]
+            del token[i + 1], rank[i]
+            if i:
+                rank[i - 1] = ranks.get(token[i - 1] * size + t, none)
+            if i < len(rank):
+                rank[i] = ranks.get(t * size + token[i + 1], none)
+        return token
+
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same with a heap, for words that are long."""
+        ranks, size = self.ranks, self.size
+        token = [self.single[b] for b in word]
         n = len(token)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(token, token[1:])) if (r := ranks.get(a * size + b)) is not None]
+        heapq.heapify(heap)
         while heap:
-            r, i, t, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i] if token[i] == a else n
             if j >= n or token[j] != b:
                 continue
-            token[i], token[j], after[i] = t, -1, after[j]
+            token[i], token[j], after[i] = self.made[r], -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for k in (before[i], i):
-                if k >= 0 and after[k] < n and (m := self.merges.get((token[k], token[after[k]]))):
-                    heapq.heappush(heap, (m[0], k, m[1], token[k], token[after[k]]))
+                if k >= 0 and after[k] < n and (m := ranks.get(token[k] * size + token[after[k]])) is not None:
+                    heapq.heappush(heap, (m, k, token[k], token[after[k]]))
         return [t for t in token if t >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """Propose, verify all proposals together, merge those that fail."""
-        proposed = [self.propose(w) for w in words]
-        length = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(length.sum()))
-        word = np.repeat(np.arange(len(words)), length)
-        bad = np.bincount(word[~self.sound[flat]], minlength=len(words)) > 0
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Propose, verify all proposals together, merge those that fail.  Ids come as int32 in bytes."""
+        if not words:
+            return []
+        token, word = self.propose(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        bad = np.bincount(word, self.length[token], len(words)) != size
+        bad |= np.bincount(word[~self.sound[token]], minlength=len(words)) > 0
         if self.ordered:
             inner = word[1:] == word[:-1]
-            pair, at = np.unique(flat[:-1][inner] * self.size + flat[1:][inner], return_inverse=True)
+            pair, at = np.unique(token[:-1][inner] * self.size + token[1:][inner], return_inverse=True)
             fits = self.compatible(pair // self.size, pair % self.size)
             bad |= np.bincount(word[1:][inner][~fits[at]], minlength=len(words)) > 0
         else:
             bad[:] = True
-        return [tuple(self.merge(w) if f else p) for w, p, f in zip(words, proposed, bad.tolist())]
+        flat = token.astype(np.int32).tobytes()
+        stop = (4 * np.cumsum(np.bincount(word, minlength=len(words)))).tolist()
+        return [array("i", self.merge(w)).tobytes() if f else flat[a:b] for w, f, a, b in zip(words, bad.tolist(), [0, *stop], stop)]
 
 
-class Codec:
-    """Encodes and decodes in one Python worker; remembers the tokens of words it has seen."""
+class Encoder:
+    """Encodes in one Python worker; remembers the tokens of words it has seen."""
 
     def __init__(self, source: str):
         self.vocabulary = Vocabulary(source)
@@ -174,6 +213,7 @@ class Codec:
         added = sorted(self.vocabulary.added, key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.known: dict = {}
+        self.older: dict = {}
 
     def cut(self, text: str) -> Iterator:
         """Words of a text; an added token comes as its id in a tuple."""
@@ -188,15 +228,22 @@ class Codec:
             yield from (m.group() for m in self.words.finditer(text, at))
 
     def learn(self, words: set) -> None:
+        """Words in use move to the young half of the memory; what the old half has left is forgotten when the young one is full."""
         if len(self.known) > KEPT:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        plain = [w for w in new if isinstance(w, str)]
-        self.known.update((w, w) for w in new if not isinstance(w, str))
+            self.known, self.older = {}, self.known
+        new = words.difference(self.known)
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        plain = []
+        for w in new.difference(again):
+            if isinstance(w, str):
+                plain.append(w)
+            else:
+                self.known[w] = array("i", w).tobytes()
         self.known.update(zip(plain, self.vocabulary.encode_words([w.encode() for w in plain])))
 
     def ids(self, words: list) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         held: list[list] = []
@@ -221,16 +268,6 @@ class Codec:
         self.learn(set(chain.from_iterable(held)))
         yield from map(self.ids, held)
 
-    def decode(self, ids: np.ndarray, step: int = 1 << 18) -> str:
-        v, parts = self.vocabulary, []
-        ids = ids[(ids >= 0) & (ids < v.size)]
-        for at in range(0, len(ids), step):
-            some = ids[at : at + step]
-            length = v.length[some]
-            ends = np.cumsum(length)
-            parts.append(v.bytes[np.repeat(v.start[some] - ends + length, length) + np.arange(ends[-1])].tobytes())
-        return b"".join(parts).decode("utf-8", "replace")
-
 
 def load(spark: SparkSession, path: str) -> Broadcast:
     """The tokenizer file, read on the driver and sent to the executors; a vocabulary has a fixed size of a few MB."""
@@ -244,9 +281,9 @@ def encoder(spark: SparkSession, file: Broadcast):
 
     @F.arrow_udf("array<int>")
     def encode(stream: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(file.value)
+        coder = Encoder(file.value)
         for texts in stream:
-            lists = list(codec.encode([x.as_py() or "" for x in texts]))
+            lists = list(coder.encode([x.as_py() or "" for x in texts]))
             offsets = np.cumsum([0, *map(len, lists)])
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int32)])))
 
@@ -259,8 +296,8 @@ def decoder(spark: SparkSession, file: Broadcast):
 
     @F.arrow_udf("string")
     def decode(stream: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(file.value)
+        pieces = Pieces(file.value)
         for lists in stream:
-            yield pa.array([codec.decode(x.values.drop_null().to_numpy()) if x.is_valid else "" for x in lists], pa.string())
+            yield pa.array([pieces.decode(x.values.drop_null().to_numpy()) if x.is_valid else "" for x in lists], pa.string())
 
     return decode
