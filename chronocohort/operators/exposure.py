@@ -32,26 +32,18 @@ def listed_drugs_like(prescriptions: DataFrame, terms: Sequence[str]) -> DataFra
             .withColumn("drug", F.lower("drug")).where(hit))
 
 
-MAX_NAMES = 20_000
-
-
-def classify(prescriptions: DataFrame, classifier: Classifier, max_names: int = MAX_NAMES) -> DataFrame:
+def classify(prescriptions: DataFrame, classifier: Classifier) -> DataFrame:
     """Listed drugs with their class.  Without a fallback, an unclassified row is no exposure and goes.
 
-    Tables repeat a few thousand drug names billions of times, so the patterns run once per distinct listed name; the rows
-    then take their class from that dictionary.  It is read up to ``max_names`` entries and broadcast; should
-    there be more names than that, every row is matched on its own instead.
+    Tables repeat a few thousand drug names billions of times, so the patterns run once per distinct name; the rows
+    then take their class from the table of listed names.  Its size is measured when it is there: Spark broadcasts it if it is small and
+    splits hot names otherwise.
     """
     base = (prescriptions.where(F.col("drug").isNotNull() & F.col("starttime").isNotNull())
             .withColumn("drug", F.lower("drug")))
     listed = base.select("drug").distinct().where(F.col("drug").rlike(classifier.any_name)).withColumn(
         "drug_class", classifier.class_of(F.col("drug"))).where("drug_class IS NOT NULL")
-    names = listed.limit(max_names + 1).collect()
-    if len(names) > max_names:
-        return (base.where(F.col("drug").rlike(classifier.any_name)).withColumn("drug_class", classifier.class_of(F.col("drug")))
-                .where("drug_class IS NOT NULL"))
-    dictionary = prescriptions.sparkSession.createDataFrame([(n["drug"], n["drug_class"]) for n in names], "drug string, drug_class string")
-    return base.join(F.broadcast(dictionary), "drug").select(*base.columns, "drug_class")
+    return base.join(listed, "drug").select(*base.columns, "drug_class")
 
 
 def first_exposure(starts: DataFrame, name: str = "first_drug_time") -> DataFrame:

@@ -13,31 +13,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_ROWS = 2_000_000
 
-
-def heavy_keys(df: DataFrame, keys: Sequence[str], limit: int = HEAVY_ROWS) -> DataFrame:
-    """Keys with more than ``limit`` rows.  There are at most rows/limit of them, which bounds a broadcast."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*keys)
-
-
-def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, name: str,
-                  limit: int = HEAVY_ROWS, heavy_by: Sequence[str] | None = None) -> DataFrame:
+def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, name: str) -> DataFrame:
     """Exact 1-based position of each row within its key.
 
-    ``chunk`` must not be NULL and must not decrease along ``order``.  Only heavy keys are cut into chunks; for all
-    others the chunk is NULL and the window is the ordinary one.  When keys are nearly unique, ``heavy_by`` names
-    fewer columns to look for heavy groups: a key can only be heavy inside a heavy coarser group.
+    ``chunk`` must not be NULL and must not decrease along ``order``.  Every key is cut into its chunks: only rows of one
+    (key, chunk) are ordered together, and the running sum of chunk totals gives each chunk its offset.
     """
-    by = list(heavy_by or keys)
-    hot = heavy_keys(df, by, limit).withColumn("_hot", F.lit(True))
-    marked = df.join(F.broadcast(hot), by, "left").withColumn("_chunk", F.when(F.col("_hot"), chunk)).drop("_hot")
-    totals = marked.where(F.col("_chunk").isNotNull()).groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    marked = df.withColumn("_chunk", chunk)
+    totals = marked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk", F.sum("_n").over(earlier).alias("_before"))
+    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    return (marked.join(offsets, [*keys, "_chunk"], "left")
-            .withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + F.row_number().over(within))
+    return (marked.join(offsets, [*keys, "_chunk"]).withColumn(name, F.col("_before") + F.row_number().over(within))
             .drop("_chunk", "_before"))
 
 
@@ -61,14 +49,16 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chu
 
 
 def magnitude_chunk(value: Column, digits: int = 4) -> Column:
-    """Order-preserving chunk of a number: its decade and leading ``digits`` digits, as one long.
+    """Order-preserving chunk of a number: its decade and leading ``digits`` digits, as one long; infinities have their own.
 
     Needs no pass over the data, and gives at most 9 * 10^(digits-1) chunks per decade and sign.
     """
     size = F.abs(value.cast("double"))
-    decade = F.floor(F.log10(size))
-    lead = F.floor(size / F.pow(F.lit(10.0), decade - (digits - 1)))
-    code = ((decade + 400) * F.lit(10 ** (digits + 1)) + lead).cast("long")
+    endless = size == float("inf")
+    finite = F.when(endless | (size == 0), F.lit(1.0)).otherwise(size)
+    decade = F.floor(F.log10(finite))
+    lead = F.floor(finite / F.pow(F.lit(10.0), decade - (digits - 1)))
+    code = F.when(endless, F.lit(1000 * 10 ** (digits + 1)).cast("long")).otherwise(((decade + 400) * F.lit(10 ** (digits + 1)) + lead).cast("long"))
     return F.when(size == 0, F.lit(0).cast("long")).when(value < 0, -code).otherwise(code)
 
 
@@ -105,7 +95,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilitie
         return F.max(F.when(F.col("q") == name, F.col("frac")))
 
     return found.groupBy(*keys).agg(*[
-        (pick(n, "lo") + (pick(n, "hi") - pick(n, "lo")) * share(n)).alias(n) for n in probabilities])
+        F.when(pick(n, "lo") == pick(n, "hi"), pick(n, "lo")).otherwise(pick(n, "lo") + (pick(n, "hi") - pick(n, "lo")) * share(n)).alias(n)
+        for n in probabilities])
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

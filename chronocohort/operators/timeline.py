@@ -13,22 +13,15 @@ from chronocohort.session import durable
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 COLUMNS = ["subject_id", "hadm_id", "admittime", "event_time", "event_type", "concept_token", "event_priority", "visit_id"]
-FITTED_ROWS = 200_000
-SALTS = 64
 
 
-def join_fitted(big: DataFrame, fitted: DataFrame, on: list[str], max_rows: int = FITTED_ROWS, stored: bool = False) -> DataFrame:
+def join_fitted(big: DataFrame, fitted: DataFrame, on: list[str], stored: bool = False) -> DataFrame:
     """Left join to a fitted lookup (vocabulary, cut-offs) whose keys may be hot in ``big``.
 
-    The lookup is written once to the shared folder (unless ``stored`` says it is) and counted.  Up to ``max_rows`` it is
-    broadcast; beyond that every key is spread over salts, so one hot key still meets its row in many tasks.
+    The lookup is written once to the shared folder (unless ``stored`` says it is), so Spark plans with its true size: a small one is
+    broadcast, and where it is not, hot keys are split at run time.
     """
-    fitted = fitted if stored else durable(fitted)
-    if fitted.count() <= max_rows:
-        return big.join(F.broadcast(fitted), on, "left")
-    salted = fitted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [*on, "_salt"], "left").drop("_salt")
+    return big.join(fitted if stored else durable(fitted), on, "left")
 
 
 def visits(admissions: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
@@ -67,8 +60,9 @@ def medication_rows(prescriptions: DataFrame, visit_rows: DataFrame) -> DataFram
     rows = (prescriptions.where("starttime IS NOT NULL").join(_stay(visit_rows), "hadm_id")
             .withColumn("drug_norm", F.trim(F.lower(F.coalesce("drug", F.lit("nan"))))))
     number = F.coalesce("pharmacy_id", F.lit(-1))
-    ranked = running_index(rows, ["subject_id", "hadm_id", "starttime"], [number, F.col("drug_norm")], F.floor(number / 4096), "_rank",
-                           heavy_by=["hadm_id"])
+    # rows without a number are ordered by name alone, so names cut them
+    chunk = F.struct(F.floor(number / 4096).alias("n"), F.when(number == -1, F.substring("drug_norm", 1, 3)).otherwise("").alias("d"))
+    ranked = running_index(rows, ["subject_id", "hadm_id", "starttime"], [number, F.col("drug_norm")], chunk, "_rank")
     return ranked.withColumn("event_priority", (F.col("_rank") - 1).cast("int")).drop("_rank")
 
 
@@ -130,12 +124,12 @@ def timeline(tables, subjects: DataFrame | None = None, options: TimelineOptions
 def vocabulary(events: DataFrame) -> DataFrame:
     """token -> id: reserved tokens first, then the distinct tokens in binary order, dense from 0.
 
-    The ids come from prefix sums over 16-character prefixes, so no task sees all tokens.
+    The ids come from prefix sums over the first 18 characters, which are six behind the longest type, so no task orders all tokens.
     """
     spark = events.sparkSession
     reserved = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(S.RESERVED)) + " AS r(token, id)")
     found = events.select(F.col("concept_token").alias("token")).where("token IS NOT NULL").distinct().where(~F.col("token").isin(S.RESERVED))
-    numbered = prefix_sums(found.withColumn("one", F.lit(1)), [], [F.col("token")], F.substring("token", 1, 16), {"n": "one"})
+    numbered = prefix_sums(found.withColumn("one", F.lit(1)), [], [F.col("token")], F.substring("token", 1, 18), {"n": "one"})
     return reserved.unionByName(numbered.select("token", (F.col("n") + len(S.RESERVED) - 1).cast("int").alias("id")))
 
 

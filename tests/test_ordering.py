@@ -16,10 +16,10 @@ def skewed(n=3000, seed=1):
     return [(1 if rng.random() < 0.5 else rng.randint(2, 40), round(rng.choice([rng.gauss(0, 1e-3), rng.gauss(0, 50), rng.expovariate(1e-4)]), 6), i) for i in range(n)]
 
 
-def test_running_index_cuts_heavy_keys(spark):
+def test_running_index_cuts_every_key(spark):
     data = skewed()
     df = spark.createDataFrame(data, "k int, v double, i int")
-    got = running_index(df, ["k"], [F.col("v"), F.col("i")], magnitude_chunk(F.col("v"), 2), "place", limit=100)
+    got = running_index(df, ["k"], [F.col("v"), F.col("i")], magnitude_chunk(F.col("v"), 2), "place")
     assert "_chunk" not in got.columns
     place = {r["i"]: r["place"] for r in got.collect()}
     for k in {d[0] for d in data}:
@@ -27,11 +27,11 @@ def test_running_index_cuts_heavy_keys(spark):
             assert place[d[2]] == n
 
 
-def test_running_index_with_coarser_heavy_groups(spark):
+def test_running_index_with_struct_chunks(spark):
     data = [(h, t, i) for i, (h, t) in enumerate((1 if n % 2 else n % 9, n % 3) for n in range(900))]
     df = spark.createDataFrame(data, "h int, t int, i int")
     chunk = F.struct((F.col("i") / 100).cast("int").alias("a"), F.lit(0).alias("b"))
-    place = {r["i"]: r["place"] for r in running_index(df, ["h", "t"], [F.col("i")], chunk, "place", limit=50, heavy_by=["h"]).collect()}
+    place = {r["i"]: r["place"] for r in running_index(df, ["h", "t"], [F.col("i")], chunk, "place").collect()}
     for key in {d[:2] for d in data}:
         assert [place[d[2]] for d in data if d[:2] == key] == list(range(1, sum(d[:2] == key for d in data) + 1))
 
@@ -57,11 +57,20 @@ def test_exact_quantiles(spark):
         np.testing.assert_allclose([r["a"], r["b"], r["c"]], np.quantile(values, [0.25, 0.5, 0.75]), rtol=1e-12, atol=1e-12)
 
 
-def test_salted_lookup_equals_broadcast_lookup(spark):
-    big = spark.createDataFrame(skewed(400), "k int, v double, i int")
+def test_fitted_lookup_keeps_every_row(spark):
+    data = skewed(400)
     small = spark.createDataFrame([(k, k * 10) for k in range(1, 30)], "k int, x int")
-    a, b = (join_fitted(big, small, ["k"], max_rows=m) for m in (1000, 5))
-    assert sorted(map(tuple, a.select("i", "x").collect()), key=str) == sorted(map(tuple, b.select("i", "x").collect()), key=str)
+    got = join_fitted(spark.createDataFrame(data, "k int, v double, i int"), small, ["k"])
+    assert sorted((r["i"], r["x"]) for r in got.collect()) == [(i, k * 10 if k < 30 else None) for k, _, i in data]
+
+
+def test_infinite_values_have_chunks_of_their_own(spark):
+    inf = float("inf")
+    values = [-inf, -1e300, -1.0, 0.0, 1.0, 2.0, 1e308, inf]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(magnitude_chunk(F.col("v"))).collect()]
+    assert got == sorted(got) and len(set(got)) == len(values)
+    df = spark.createDataFrame([(1, v) for v in (1.0, 2.0, inf, inf, inf)] + [(2, v) for v in (-inf, 1.0, 2.0)], "k int, v double")
+    assert {r["k"]: (r["m"], r["u"]) for r in exact_quantiles(df, ["k"], "v", {"m": 0.5, "u": 0.75}).collect()} == {1: (inf, inf), 2: (1.0, 1.5)}
 
 
 def scored(spark, pairs):
