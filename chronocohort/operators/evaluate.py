@@ -38,27 +38,45 @@ def score_steps(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, F.col(P).alias("s")).agg(F.sum(Y).alias("pos"), F.sum(1 - F.col(Y)).alias("neg"))
 
 
-def auroc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def _curves(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Score steps with the running counts from the lowest score up and the group's totals: all that the metrics need, from one scan."""
+    steps = score_steps(df, by)
+    running = prefix_sums(steps, by, [F.col("s")], magnitude_chunk(F.col("s")), {"pos_upto": "pos", "neg_upto": "neg"})
+    totals = steps.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    return running.join(totals, list(by)) if by else running.crossJoin(F.broadcast(totals))  # one row
+
+
+def _auroc() -> Column:
     """Rank-sum area with ties counted half; NULL when only one class is present."""
-    steps = prefix_sums(score_steps(df, by), by, [F.col("s")], magnitude_chunk(F.col("s")), {"neg_upto": "neg"})
     area = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2))
-    return steps.groupBy(*by).agg((area / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"))
+    return area / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
+
+
+def _auprc() -> Column:
+    """Average precision: recall steps times precision over distinct scores, from the highest down."""
+    pos_down = F.col("all_pos") - F.col("pos_upto") + F.col("pos")
+    neg_down = F.col("all_neg") - F.col("neg_upto") + F.col("neg")
+    return F.sum(F.col("pos") * pos_down / (pos_down + neg_down)) / F.nullif(F.sum("pos"), F.lit(0))
+
+
+def auroc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return _curves(df, by).groupBy(*by).agg(_auroc().alias("auroc"))
 
 
 def auprc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Average precision: sum of recall steps times precision over distinct scores, from the highest down."""
-    steps = score_steps(df, by).withColumn("all", F.col("pos") + F.col("neg")).withColumn("down", -F.col("s"))
-    steps = prefix_sums(steps, by, [F.col("down")], magnitude_chunk(F.col("down")), {"cum_pos": "pos", "cum_all": "all"})
-    area = F.sum(F.col("pos") * F.col("cum_pos") / F.col("cum_all"))
-    return steps.groupBy(*by).agg((area / F.nullif(F.sum("pos"), F.lit(0))).alias("auprc"))
+    return _curves(df, by).groupBy(*by).agg(_auprc().alias("auprc"))
 
 
 EPS = 2.220446049250313e-16
 
 
+def _loss() -> Column:
+    p = F.least(F.greatest(F.col("s"), F.lit(EPS)), F.lit(1 - EPS))
+    return F.sum(-F.log(p) * F.col("pos") - F.log(1 - p) * F.col("neg")) / F.nullif(F.sum("pos") + F.sum("neg"), F.lit(0))
+
+
 def log_loss(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    p = F.least(F.greatest(F.col(P), F.lit(EPS)), F.lit(1 - EPS))
-    return df.groupBy(*by).agg(F.avg(-F.log(F.when(F.col(Y) == 1, p).otherwise(1 - p))).alias("loss"))
+    return score_steps(df, by).groupBy(*by).agg(_loss().alias("loss"))
 
 
 def threshold_sweep(df: DataFrame, step: float = 0.05, target_sensitivity: float = 0.70) -> DataFrame:
@@ -93,12 +111,16 @@ METRICS = ["auroc", "auprc", "f1", "sensitivity", "specificity", "loss"]
 
 
 def run_metrics(df: DataFrame, by: Sequence[str], threshold: float = 0.5) -> DataFrame:
-    """All run metrics per group (task, variant, seed, ...)."""
-    by = list(by)
-    out = confusion(df, by, threshold)
-    for part in (auroc(df, by), auprc(df, by), log_loss(df, by)):
-        out = out.join(part, by)
-    return out
+    """All run metrics per group (task, variant, seed, ...), from one table of score steps."""
+    hit = F.col("s") >= threshold
+
+    def n(column: str, kept: Column) -> Column:
+        return F.sum(F.when(kept, F.col(column)).otherwise(0))
+
+    out = _curves(df, list(by)).groupBy(*by).agg(
+        n("pos", hit).alias("tp"), n("neg", hit).alias("fp"), n("pos", ~hit).alias("fn"), n("neg", ~hit).alias("tn"),
+        _auroc().alias("auroc"), _auprc().alias("auprc"), _loss().alias("loss"))
+    return rates(out)
 
 
 def seed_summary(runs: DataFrame, group: str, sort_by: str = "auroc") -> DataFrame:
