@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,14 +54,16 @@ def exists_in_interval(left: DataFrame, points: DataFrame, time: str, after: Col
                        keys: Sequence[str]) -> DataFrame:
     """0/1: has the patient any point in (after, until]?  Intervals span at least one day.
 
-    Points are first cut to two per day.  A day holds a point of the interval exactly when its first or
-    its last one lies inside, because an interval of a day or more cannot fall between them.
+    Points are first cut to two per day, which loses none that matters to an interval of a day or more.  One sorted pass per patient then
+    finds the next point after each index, and the interval holds a point exactly when it reaches that one.
     """
     spans = left.select(*keys, after.alias("_a"), until.alias("_u"))
-    hit = (spans.join(daily_bounds(points, time), "subject_id")
-           .where(((F.col("day_first") > F.col("_a")) & (F.col("day_first") <= F.col("_u")))
-                  | ((F.col("day_last") > F.col("_a")) & (F.col("day_last") <= F.col("_u"))))
-           .select(*keys).distinct().withColumn(name, F.lit(1)))
+    days = daily_bounds(points, time).select("subject_id", F.explode(F.array("day_first", "day_last")).alias("_p"))
+    marks = days.select("subject_id", F.col("_p").alias("_t"), F.lit(1).alias("_kind"), "_p", F.lit(None).alias("_s"))
+    asked = spans.select("subject_id", F.col("_a").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).alias("_p"), F.struct(*keys, "_u").alias("_s"))
+    back = Window.partitionBy("subject_id").orderBy(F.desc("_t"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    following = marks.unionByName(asked).withColumn("_next", F.min("_p").over(back)).where("_kind = 0")
+    hit = following.where("_next <= _s._u").select("_s.*").select(*keys).distinct().withColumn(name, F.lit(1))
     return left.join(hit, list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 

@@ -44,14 +44,25 @@ SPECS = {s.name: s for s in [
     CohortSpec("first_class_only", windows=D.WINDOWS_FIRST_CLASS, first_class="anthracycline"),
     CohortSpec("per_cycle", grain="joint", windows=D.WINDOWS_PER_CYCLE, incident=C.HEART_FAILURE),
     CohortSpec("uniform_365", grain="joint", windows=None, incident=C.HEART_FAILURE),
+    CohortSpec("per_cycle_strict", grain="joint", windows=D.WINDOWS_PER_CYCLE, incident=C.HEART_FAILURE, strict_reference=True),
 ]}
 
 
+def kept(tables, name: str, build) -> DataFrame:
+    """A part that several cohorts share, written once: among the stages of ``tables`` if it keeps any, else for this use."""
+    return tables.stage(name, build) if hasattr(tables, "stage") else durable(build())
+
+
+def shared_name(classifier: D.Classifier) -> str:
+    known = {"ten": D.TEN, "three": D.THREE, "main_v1": D.MAIN_V1, "main_v2": D.MAIN_V2}
+    return next((k for k, v in known.items() if v == classifier), f"classes_{hash(repr(classifier)) & 0xFFFFFFFF:08x}")
+
+
 class Cohort:
     """Stages of one cohort over clinical tables; each stage is a lazy DataFrame.
 
-    The whole table uses the cohort's drug starts and index times many times.  ``stored`` writes these two
-    once (they hold only listed drugs of eligible patients) and builds on the written tables.
+    Cohorts of one classifier share drug starts, index times, echo events, deaths and last observations.  ``stored`` builds on these, written
+    once (they hold only listed drugs, and facts of patients with such drugs).
     """
 
     def __init__(self, spec: CohortSpec, tables):
@@ -60,12 +71,18 @@ class Cohort:
     @cached_property
     def stored(self) -> "Cohort":
         copy = Cohort(self.spec, self.tables)
-        copy.__dict__["eligible"] = self.eligible
-        copy.__dict__["starts"] = durable(self.starts)
-        copy.__dict__["anchor"] = durable(copy.anchor)
         copy.__dict__["stored"] = copy
+        shared = shared_name(self.spec.classifier)
+        copy.__dict__["eligible"] = kept(self.tables, "eligible", lambda: self.eligible)
+        for part in ("starts", "anchor", "stays", "deaths", "observed", *(["echo_event"] if self.spec.echo else [])):
+            copy.__dict__[part] = kept(self.tables, "stays" if part == "stays" else f"{part}_{shared}", lambda: getattr(Cohort(self.spec, self.tables).over(copy), part))
         return copy
 
+    def over(self, other: "Cohort") -> "Cohort":
+        """The same cohort, building on what ``other`` has written."""
+        self.__dict__.update({k: v for k, v in other.__dict__.items() if k in ("eligible", "starts", "anchor", "stays")})
+        return self
+
     @cached_property
     def eligible(self) -> DataFrame:
         return O.eligible_patients(self.tables.diagnoses)
@@ -179,10 +196,12 @@ class MainCohort:
     @cached_property
     def stored(self) -> "MainCohort":
         copy = MainCohort(self.spec, self.tables, self.strict_reference)
-        copy.__dict__["drugs"] = durable(self.drugs)
-        copy.__dict__["eligible"] = durable(self.eligible)
-        copy.__dict__["anchor"] = durable(copy.anchor)
         copy.__dict__["stored"] = copy
+        shared = shared_name(self.spec.classifier)
+        copy.__dict__["eligible"] = kept(self.tables, "eligible", lambda: self.eligible)
+        copy.__dict__["drugs"] = kept(self.tables, f"drugs_{shared}", lambda: self.drugs)
+        copy.__dict__["anchor"] = kept(self.tables, f"anchor_{self.spec.name}", lambda: MainCohort.anchor.func(copy))
+        copy.__dict__["outcome_admissions"] = kept(self.tables, f"outcomes_{self.spec.name}", lambda: MainCohort.outcome_admissions.func(copy))
         return copy
 
     @cached_property
@@ -226,13 +245,23 @@ class MainCohort:
             F.max(F.when(self.spec.outcome.matches(), 1).otherwise(0)).alias("cv_event"),
             X.text_set(F.collect_set("icd_code")).alias("cv_event_icd_codes"))
 
+    @cached_property
+    def outcome_admissions(self) -> DataFrame:
+        """The flagged ones of these: outcome codes pick the admissions first, so only their codes are listed."""
+        diagnoses = self.tables.diagnoses
+        hits = O.with_admission(diagnoses.where(self.spec.outcome.matches()), self.anchor, self.tables.admissions)
+        hits = hits.select("subject_id", "first_oncology_time", "hadm_id", "admittime").distinct()
+        codes = diagnoses.select("subject_id", "hadm_id", "icd_code").join(hits, ["subject_id", "hadm_id"])
+        return codes.groupBy("subject_id", "first_oncology_time", "hadm_id", "admittime").agg(
+            X.text_set(F.collect_set("icd_code")).alias("cv_event_icd_codes"))
+
     @cached_property
     def first_event(self) -> DataFrame:
         lvef = self.lvef_events.select("subject_id", F.col("event_time").alias("first_toxicity_time"),
                                        F.lit("lvef_ctrctd").alias("first_toxicity_type"),
                                        F.col("event_lvef").alias("first_event_lvef"),
                                        F.col("lvef_drop_pp").alias("first_absolute_lvef_drop"))
-        coded = self.flagged_admissions.where("cv_event = 1 AND admittime >= first_oncology_time").select(
+        coded = self.outcome_admissions.where("admittime >= first_oncology_time").select(
             "subject_id", F.col("admittime").alias("first_toxicity_time"),
             F.lit("cv_diagnosis_admission").alias("first_toxicity_type"),
             F.col("cv_event_icd_codes").alias("first_cv_event_icd_codes"))
@@ -244,7 +273,7 @@ class MainCohort:
 
     @cached_property
     def history(self) -> DataFrame:
-        return (self.flagged_admissions.where("cv_event = 1 AND admittime < first_oncology_time").select("subject_id").distinct()
+        return (self.outcome_admissions.where("admittime < first_oncology_time").select("subject_id").distinct()
                 .withColumn("pre_existing_cv_history", F.lit(1)))
 
     @cached_property
