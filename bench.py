@@ -1,7 +1,7 @@
 """Headline queries, timed.  Prints one JSON line.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all), BENCH_RUNS (default 3),
-BENCH_QUERIES (comma list; default the headline list).  Each query is warmed up once, then the median is taken.  What the pipeline
+BENCH_QUERIES (comma list; default the headline list), BENCH_SHARED (folder for stage files; default a new one).  Each query is warmed up once, then the median is taken.  What the pipeline
 writes between its programs (converted tables, samples, vocabulary, sequences) is built once and timed on its own as ``stage_*``.
 """
 
@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 HEADLINE = [
@@ -39,6 +40,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus)
+             .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED") or tempfile.mkdtemp(prefix="bench-shared-"))
              .config("spark.driver.memory", "16g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}

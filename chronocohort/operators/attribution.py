@@ -42,17 +42,16 @@ def top_tokens(df: DataFrame, k: int, score: str = "ig_score_l2") -> DataFrame:
     return df.orderBy(F.desc(score), *[F.col(c) for c in df.columns if c != score]).limit(k)
 
 
-def token_by_cycle(df: DataFrame, patient: str, cycle: str, cycles: Sequence[int], k: int) -> DataFrame:
-    """Top-k tokens of a patient against cycles, highest score per cell, 0 where absent.
+def token_by_cycle(df: DataFrame, patient: str, cycle: str, k: int) -> DataFrame:
+    """Top-k tokens of a patient over all its cycles, one row per token and cycle in which it occurs, with the highest score there.
 
-    Candidates are the tokens at the k best positions of each cycle; of these the k with the highest maximum stay.
-    Both rank limits run before the shuffle too, so a long sequence does not gather in one task.
+    Candidates are the tokens at the k best positions of each cycle; of these the k with the highest score in any cycle stay, ranked by it.
+    A cycle without a row counts 0.  Both rank limits run before the shuffle too, so a long sequence does not gather in one task.
     """
     best = Window.partitionBy(patient, cycle).orderBy(F.desc("rollout_score"), "token", "position")
     candidates = df.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select(patient, "token").distinct()
-    cells = df.groupBy(patient, "token", cycle).agg(F.max("rollout_score").alias("m")).join(candidates, [patient, "token"], "left_semi")
-    wide = cells.groupBy(patient, "token").pivot(cycle, list(cycles)).agg(F.max("m"))
-    wide = wide.select(patient, "token", *[F.coalesce(F.col(str(c)), F.lit(0.0)).alias(f"cycle_{c}") for c in cycles])
-    peak = F.greatest(*[F.col(f"cycle_{c}") for c in cycles])
+    cells = df.groupBy(patient, "token", cycle).agg(F.max("rollout_score").alias("score")).join(candidates, [patient, "token"], "left_semi")
     order = Window.partitionBy(patient).orderBy(F.desc("peak"), "token")
-    return wide.withColumn("peak", peak).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("peak")
+    ranked = (cells.groupBy(patient, "token").agg(F.max("score").alias("peak")).withColumn("rank", F.row_number().over(order))
+              .where(F.col("rank") <= k).drop("peak"))
+    return cells.join(ranked, [patient, "token"])

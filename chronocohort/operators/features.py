@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronocohort.functions import scalars as S
 from chronocohort.functions.drugs import MAIN_CLASSES
-from chronocohort.operators.ordering import exact_quantiles
-from chronocohort.operators.sequence import SAMPLE
+from chronocohort.operators.ordering import exact_quantiles, union_all
+from chronocohort.operators.sequence import sample_key
+from chronocohort.session import durable
 
 CLINICAL = [f"exposed_{c}" for c in MAIN_CLASSES] + [
     "has_pre_existing_hf_or_cmp", "baseline_lvef", "cycle_number", "toxicity_window_days",
@@ -18,42 +19,51 @@ CLINICAL = [f"exposed_{c}" for c in MAIN_CLASSES] + [
 
 
 def clinical(samples: DataFrame, cohort: DataFrame, baselines: DataFrame, fit_on: DataFrame | None = None) -> DataFrame:
-    """The sixteen structured features; a missing baseline takes the median over ``fit_on`` (default: all rows).
+    """The sixteen structured features; a missing baseline takes the median over the patients of ``fit_on`` (default: all rows).
 
-    The baseline is the true as-of value, not the one that event tables fill only for positives.
+    The baseline is the true as-of value, not the one that event tables fill only for positives.  Where cycles are counted per class, a
+    sample is exposed to its own class.
     """
-    table = cohort.select("subject_id", "cycle_number", *[c for c in CLINICAL if c not in ("cycle_number", "baseline_lvef")])
-    rows = (samples.select(*SAMPLE, "binary_label").join(table, SAMPLE, "left")
+    key = sample_key(samples)
+    structured = [c for c in CLINICAL if c not in ("cycle_number", "baseline_lvef")]
+
+    def value(name: str) -> Column:
+        exposed = "drug_class" in key and name.startswith("exposed_")
+        return (F.col("drug_class") == name.removeprefix("exposed_")).cast("int") if exposed else F.col(name)
+
+    table = cohort.select(*key, *[value(c).alias(c) for c in structured])
+    rows = (samples.select(*key, "binary_label").join(table, key, "left")
             .join(baselines.select("subject_id", "baseline_lvef"), "subject_id", "left"))
-    fitted = rows if fit_on is None else rows.join(fit_on.select(*SAMPLE), SAMPLE, "left_semi")
-    median = exact_quantiles(fitted.withColumn("all", F.lit(1)), ["all"], "baseline_lvef", {"m": 0.5}).first()
-    fills = {"baseline_lvef": median["m"] if median else None, "n_prescription_rows_in_cycle": 1.0}
-    values = [F.coalesce(F.col(c).cast("double"), F.lit(fills.get(c)).cast("double")).alias(f"f_{c}") for c in CLINICAL]
-    return rows.select(*SAMPLE, "binary_label", *values)
+    fitted = rows if fit_on is None else rows.join(fit_on.select("subject_id").distinct(), "subject_id", "left_semi")
+    median = exact_quantiles(fitted.withColumn("all", F.lit(1)), ["all"], "baseline_lvef", {"m": 0.5}).select("m").scalar()
+    fills = {"baseline_lvef": median, "n_prescription_rows_in_cycle": F.lit(1.0)}
+    values = [F.coalesce(F.col(c).cast("double"), fills.get(c, F.lit(None)).cast("double")).alias(f"f_{c}") for c in CLINICAL]
+    return rows.select(*key, "binary_label", *values)
 
 
 def bag_of_words(seqs: DataFrame) -> DataFrame:
     """Token counts per sample in sparse long form; reserved tokens and padding left out."""
-    return (seqs.select(*SAMPLE, F.explode("concept_ids").alias("token_id")).where(F.col("token_id") >= len(S.RESERVED))
-            .groupBy(*SAMPLE, "token_id").agg(F.count("*").alias("n")))
+    key = sample_key(seqs)
+    return (seqs.select(*key, F.explode("concept_ids").alias("token_id")).where(F.col("token_id") >= len(S.RESERVED))
+            .groupBy(*key, "token_id").agg(F.count("*").alias("n")))
 
 
 def combined(clinical_rows: DataFrame, bow: DataFrame) -> DataFrame:
     """Clinical features and token counts in one sparse long table (feature, value)."""
+    key = sample_key(clinical_rows)
     pairs = ", ".join(f"'{c}', f_{c}" for c in CLINICAL)
-    left = clinical_rows.selectExpr(*SAMPLE, f"stack({len(CLINICAL)}, {pairs}) AS (feature, value)")
-    right = bow.select(*SAMPLE, F.concat(F.lit("token_"), F.col("token_id").cast("string")).alias("feature"), F.col("n").cast("double").alias("value"))
+    left = clinical_rows.selectExpr(*key, f"stack({len(CLINICAL)}, {pairs}) AS (feature, value)")
+    right = bow.select(*key, F.concat(F.lit("token_"), F.col("token_id").cast("string")).alias("feature"), F.col("n").cast("double").alias("value"))
     return left.unionByName(right)
 
 
 def scale(rows: DataFrame, train: DataFrame, features: Sequence[str] = tuple(CLINICAL)) -> DataFrame:
-    """Standardise with the mean and population deviation of the training rows; a constant column keeps scale 1.
-
-    The fitted moments are one row of doubles, read once.
-    """
-    moments = train.agg(*[F.avg(f"f_{c}").alias(f"m_{c}") for c in features], *[F.stddev_pop(f"f_{c}").alias(f"s_{c}") for c in features]).first()
-    scaled = [((F.col(f"f_{c}") - F.lit(moments[f"m_{c}"])) / F.lit(moments[f"s_{c}"] or 1.0)).alias(f"f_{c}") for c in features]
-    return rows.select(*SAMPLE, "binary_label", *scaled)
+    """Standardise with the mean and population deviation of the training rows; a constant column keeps scale 1."""
+    moments = train.agg(F.struct(*[F.avg(f"f_{c}").alias(f"m_{c}") for c in features], *[F.stddev_pop(f"f_{c}").alias(f"s_{c}") for c in features]).alias("s")).scalar()
+    fitted = rows.withColumn("_s", moments)
+    deviation = {c: F.when(F.col(f"_s.s_{c}") > 0, F.col(f"_s.s_{c}")).otherwise(1.0) for c in features}
+    scaled = [((F.col(f"f_{c}") - F.col(f"_s.m_{c}")) / deviation[c]).alias(f"f_{c}") for c in features]
+    return fitted.select(*sample_key(rows), "binary_label", *scaled)
 
 
 def class_weights(samples: DataFrame) -> DataFrame:
@@ -65,52 +75,85 @@ def class_weights(samples: DataFrame) -> DataFrame:
                        F.round(n / F.nullif(p, F.lit(0)), 6).alias("weight_positive"))
 
 
-def _vector_columns(rows: DataFrame, variant: str, seqs: DataFrame | None, buckets: int) -> DataFrame:
-    from pyspark.ml.feature import HashingTF, VectorAssembler
+VARIANTS = ("clinical", "bow", "combined")
+#: Token columns a model may have; beyond that the rarest tokens share none.  The list of tokens is part of the model.
+MAX_TOKENS = 1 << 18
+
+
+def _vector_columns(rows: DataFrame, variant: str, seqs: DataFrame | None, train: DataFrame) -> DataFrame:
+    """``rows`` with ``features``; token columns are those of the training samples, a column for each token."""
+    from pyspark.ml.feature import CountVectorizer, VectorAssembler
 
+    key = sample_key(rows)
     inputs = []
     if variant in ("clinical", "combined"):
         inputs += [f"f_{c}" for c in CLINICAL]
     if variant in ("bow", "combined"):
-        words = seqs.select(*SAMPLE, F.transform(F.filter("concept_ids", lambda x: x >= len(S.RESERVED)), lambda x: x.cast("string")).alias("words"))
-        rows = HashingTF(numFeatures=buckets, inputCol="words", outputCol="f_words").transform(rows.join(words, SAMPLE))
-        inputs.append("f_words")
+        words = seqs.select(*key, F.transform(F.filter("concept_ids", lambda x: x >= len(S.RESERVED)), lambda x: x.cast("string")).alias("words"))
+        rows = rows.join(words, key)
+        known = rows.join(train, "subject_id", "left_semi").where(F.size("words") > 0)
+        if not known.isEmpty():
+            rows = CountVectorizer(inputCol="words", outputCol="f_words", vocabSize=MAX_TOKENS).fit(known).transform(rows)
+            inputs.append("f_words")
+    if not inputs:
+        rows, inputs = rows.withColumn("f_none", F.lit(0.0)), ["f_none"]
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
 
 
-def boosted_trees(rows: DataFrame, splits: DataFrame, seqs: DataFrame | None = None, variant: str = "clinical", seed: int = 42,
-                  rounds: int = 20, depth: int = 4, step: float = 0.05, buckets: int = 1024) -> DataFrame:
-    """Gradient-boosted trees with class weights; the validation patients stop the boosting.  Scores the test patients.
+def best_round(losses: Sequence[float], patience: int) -> int:
+    """Rounds to keep: up to the smallest loss, not looking further than ``patience`` rounds without a new smallest."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
-    Token counts are hashed into a fixed number of columns, so no vocabulary passes through the driver.
-    """
+
+def boosted_trees(rows: DataFrame, splits: DataFrame, seqs: DataFrame | None = None, variant: str = "clinical", seed: int = 42,
+                  rounds: int = 500, patience: int = 30, depth: int = 4, step: float = 0.05, least: int = 1, columns: str = "all") -> DataFrame:
+    """Gradient-boosted trees with class weights.  All rounds are fitted on the training patients, every prefix of the trees is scored on
+    the validation patients, and the test patients are scored by the best prefix.  ``n_trees`` tells its length."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import vector_to_array
 
-    data = _vector_columns(rows, variant, seqs, buckets).join(splits.select("subject_id", "split"), "subject_id")
-    rate = data.where("split = 'train'").agg(F.avg("binary_label")).first()[0] or 0.5
-    ratio = (1 - rate) / rate
-    data = data.withColumn("w", F.when(F.col("binary_label") == 1, F.lit(float(ratio))).otherwise(1.0)).withColumn("held", F.col("split") == "val")
-    fitted = data.where("split IN ('train', 'val')").select("features", F.col("binary_label").cast("double").alias("label"), "w", "held")
-    model = GBTClassifier(labelCol="label", weightCol="w", validationIndicatorCol="held", maxIter=rounds, maxDepth=depth, stepSize=step,
-                          subsamplingRate=0.8, seed=seed).fit(fitted)
+    parts = splits.select("subject_id", "split")
+    train = parts.where("split = 'train'").select("subject_id")
+    data = durable(_vector_columns(rows, variant, seqs, train).join(parts, "subject_id").select(
+        *sample_key(rows), "split", F.col("binary_label").cast("double").alias("label"), "features"))
+    fitted, held = data.where("split = 'train'"), data.where("split = 'val'")
+    rate = fitted.agg(F.avg("label")).first()[0] or 0.5
+    weight = F.when(F.col("label") == 1, F.lit((1 - rate) / rate)).otherwise(1.0)
+    fitted, held = fitted.withColumn("w", weight), held.withColumn("w", weight)
+    trees = GBTClassifier(weightCol="w", maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=least, featureSubsetStrategy=columns, seed=seed)
+    model = trees.setMaxIter(rounds).fit(fitted)
+    keep = best_round(model.evaluateEachIteration(held), patience) if not held.isEmpty() else rounds
+    if keep < rounds:
+        model = trees.setMaxIter(keep).fit(fitted)  # the same seed gives the same first trees
     return model.transform(data.where("split = 'test'")).select(
-        *SAMPLE, "split", F.col("binary_label").alias("true_label"), vector_to_array("probability")[1].alias("prob_cardiotoxic"))
+        *sample_key(rows), "split", F.col("label").cast("int").alias("true_label"), vector_to_array("probability")[1].alias("prob_cardiotoxic"), F.lit(keep).alias("n_trees"))
+
+
+def tree_runs(rows: DataFrame, splits: DataFrame, seqs: DataFrame, variants: Sequence[str] = VARIANTS, seeds: Sequence[int] = (42,), **options) -> DataFrame:
+    """The scored test patients of every variant and seed; clinical features are scaled on the training patients."""
+    train = rows.join(splits.where("split = 'train'").select("subject_id"), "subject_id", "left_semi")
+    scaled = durable(scale(rows, train))
+    return union_all([boosted_trees(scaled, splits, seqs, v, s, **options).withColumn("variant", F.lit(v)).withColumn("seed", F.lit(s)) for v in variants for s in seeds])
 
 
-def pca_project(vectors: DataFrame, id_column: str, vector_column: str, k: int = 2) -> DataFrame:
+def pca_project(vectors: DataFrame, ids: Sequence[str], vector_column: str, k: int = 2) -> DataFrame:
     """Centred projection on the first k principal components; signs are free."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = vectors.select(id_column, array_to_vector(F.transform(vector_column, lambda x: x.cast("double"))).alias("v"))
+    rows = vectors.select(*ids, array_to_vector(F.transform(vector_column, lambda x: x.cast("double"))).alias("v"))
     centred = StandardScaler(withMean=True, withStd=False, inputCol="v", outputCol="c").fit(rows).transform(rows)
     done = PCA(k=k, inputCol="c", outputCol="p").fit(centred).transform(centred).withColumn("a", vector_to_array("p"))
-    return done.select(id_column, *[F.col("a")[i].alias(f"pc{i + 1}") for i in range(k)])
+    return done.select(*ids, *[F.col("a")[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
-def pca_joint(left: DataFrame, right: DataFrame, id_column: str, vector_column: str, k: int = 2) -> DataFrame:
-    """Both sets in the plane fitted to their union, told apart by ``source``."""
-    key = F.concat_ws(":", F.col("source"), F.col(id_column).cast("string"))
-    both = left.withColumn("source", F.lit("left")).unionByName(right.withColumn("source", F.lit("right"))).withColumn("key", key)
-    return pca_project(both, "key", vector_column, k).withColumn("source", F.split("key", ":")[0])
+def pca_joint(sets: Mapping[str, DataFrame], id_column: str, vector_column: str, k: int = 2) -> DataFrame:
+    """Any number of named sets in the plane fitted to their union; ``source`` names the set, ids stay."""
+    named = [df.select(F.lit(name).alias("source"), id_column, vector_column) for name, df in sets.items()]
+    return pca_project(union_all(named), ["source", id_column], vector_column, k)

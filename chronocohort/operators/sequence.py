@@ -14,6 +14,20 @@ MAX_SEQ_LEN = 600
 ARRAYS = ["concept_ids", "type_ids", "visit_ids", "position_ids", "dates"]
 
 
+def sample_key(df: DataFrame) -> list[str]:
+    """What tells samples apart: patient and cycle number, and the class where cycles are counted per class."""
+    return [*SAMPLE, "drug_class"] if "drug_class" in df.columns else list(SAMPLE)
+
+
+def unique_samples(samples: DataFrame) -> DataFrame:
+    """``samples``, and an error at run time if two rows share a key: their events would run together."""
+    key = sample_key(samples)
+    rest = [c for c in samples.columns if c not in key]
+    once = samples.groupBy(*key).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in rest])
+    clash = F.when(F.col("_n") > 1, F.raise_error(F.lit("two samples share a key"))).otherwise(F.lit(True))
+    return once.where(clash).select(*samples.columns)
+
+
 def visit_rank() -> Column:
     """Visits in timeline order; rows without an admission (visit 0) come last."""
     return F.when(F.col("visit_id") == 0, F.lit(2**31 - 1)).otherwise(F.col("visit_id"))
@@ -34,25 +48,72 @@ def placed(encoded: DataFrame) -> DataFrame:
         "subject_id", "visit_id", "event_time", "place", "concept_id", "type_id")
 
 
-def visit_spans(samples: DataFrame, events: DataFrame, keep: int) -> DataFrame:
-    """Per sample the visits with any earlier event, and which of them must be read.
+def visit_summary(events: DataFrame) -> DataFrame:
+    """Per patient and visit: events and their times, and running over the visits in order: latest time, events and visits so far."""
+    per = events.groupBy("subject_id", "visit_id").agg(
+        F.count("*").alias("n"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).withColumn("rank", visit_rank())
+    upto = Window.partitionBy("subject_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    return (per.withColumn("latest", F.max("hi").over(upto)).withColumn("n_upto", F.sum("n").over(upto))
+            .withColumn("visits_upto", F.sum(F.when(F.col("visit_id") != 0, 1).otherwise(0)).over(upto)))
 
-    A visit wholly before the index time counts from its summary.  Going back from the newest visit, rows are
-    needed only until ``keep`` events are certain; visits that straddle the index are always read.
-    """
-    summary = events.groupBy("subject_id", "visit_id").agg(
-        F.count("*").alias("n"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi"))
-    spans = (samples.select(*SAMPLE, "prediction_time").join(summary, "subject_id").where("lo < prediction_time")
-             .withColumn("whole", F.col("hi") < F.col("prediction_time")))
-    newer = Window.partitionBy(*SAMPLE).orderBy(visit_rank().desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sure = F.coalesce(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(1)).over(newer), F.lit(0))
-    return spans.withColumn("needed", ~F.col("whole") | (sure < keep))
 
+def _as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, order: list[str], take: list[str]) -> DataFrame:
+    """``left`` with ``take`` of the last row of ``right``, by ``right_at`` and ``order``, that lies strictly before ``left_at``."""
+    at = F.struct(*[F.col(c) for c in take])
+    marks = right.select(*keys, F.col(right_at).alias("_at"), F.lit(1).alias("_kind"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], at.alias("_m"), F.lit(None).alias("_l"))
+    asked = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0).alias("_kind"), *[F.lit(None).alias(f"_o{i}") for i in range(len(order))],
+                        F.lit(None).alias("_m"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
+    along = Window.partitionBy(*keys).orderBy("_at", "_kind", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
+    found = marks.unionByName(asked).withColumn("_m", F.last("_m", ignorenulls=True).over(along)).where("_kind = 0")
+    return found.select("_l.*", *[F.col(f"_m.{c}").alias(c) for c in take])
+
+
+def history(samples: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What lies strictly before each index time, without a row for each event.
+
+    Visits are ordered, and up to some visit all of them end before the index: those count from a running sum, found as of the
+    index time.  Of the later visits only those that begin before the index matter; their events before it are the first ones of the visit.
+    How many follows from hourly counts and from the single events of the index hour alone.
 
-def rows_before(spans: DataFrame, events: DataFrame) -> DataFrame:
-    """Events of the given (sample, visit) pairs strictly before the index time."""
-    return (events.join(spans.select(*SAMPLE, "prediction_time", "visit_id", "whole"), ["subject_id", "visit_id"])
-            .where("event_time < prediction_time"))
+    Returns the samples with ``n_whole``, ``visits_whole`` (that run of whole visits), and one row per sample and later visit with
+    ``first`` (place of the visit's first event) and ``n_before``.
+    """
+    key = sample_key(samples)
+    summary = durable(visit_summary(events).withColumn("first", F.col("n_upto") - F.col("n") + 1))
+    index = samples.select(*key, "prediction_time")
+    whole = _as_of(index, summary, ["subject_id"], "prediction_time", "latest", ["rank"], ["rank", "n_upto", "visits_upto"]).select(
+        *key, "prediction_time", F.col("rank").alias("last_whole"), F.coalesce("n_upto", F.lit(0)).alias("n_whole"), F.coalesce("visits_upto", F.lit(0)).alias("visits_whole"))
+    whole = durable(whole)
+    later = whole.join(summary.select("subject_id", "visit_id", "rank", "first", "n", "lo", "hi"), "subject_id").where(
+        (F.col("lo") < F.col("prediction_time")) & (F.col("rank") > F.coalesce("last_whole", F.lit(-1)))).drop("n_whole", "visits_whole", "last_whole")
+    later = durable(later.withColumn("hour", F.date_trunc("HOUR", "prediction_time")))
+    ended = F.col("hi") < F.col("prediction_time")
+    done, straddling = later.where(ended), later.where(~ended)
+    hours = events.groupBy("subject_id", "visit_id", F.date_trunc("HOUR", "event_time").alias("event_hour")).agg(F.max("place").alias("last_place"))
+    counted = _as_of(straddling, hours, ["subject_id", "visit_id"], "hour", "event_hour", [], ["last_place"])
+    in_hour = (events.withColumn("hour", F.date_trunc("HOUR", "event_time")).join(straddling.select(*key, "visit_id", "hour", "prediction_time"), ["subject_id", "visit_id", "hour"])
+               .where("event_time < prediction_time").groupBy(*key, "visit_id").agg(F.count("*").alias("n_in_hour")))
+    counted = counted.join(in_hour, [*key, "visit_id"], "left")
+    columns = [*key, "visit_id", "rank", "first"]
+    n_before = F.coalesce(F.col("last_place") - F.col("first") + 1, F.lit(0)) + F.coalesce("n_in_hour", F.lit(0))
+    visits = done.select(*columns, F.col("n").alias("n_before")).unionByName(counted.select(*columns, n_before.alias("n_before")))
+    return whole, durable(visits)
+
+
+def newest_rows(whole: DataFrame, visits: DataFrame, events: DataFrame, keep: int) -> DataFrame:
+    """The newest ``keep`` events before each index time: sample key and event columns.
+
+    They are the ends of a few runs of places, so they are read as ranges: by patient and block of places, never by all events of a patient.
+    """
+    key = sample_key(whole)
+    newer = Window.partitionBy(*key).orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    need = F.least(F.col("n_before"), F.greatest(F.lit(0), F.lit(keep) - F.coalesce(F.sum("n_before").over(newer), F.lit(0))))
+    parts = visits.withColumn("need", need).select(*key, (F.col("first") + F.col("n_before") - F.col("need")).alias("from"), (F.col("first") + F.col("n_before") - 1).alias("to"))
+    later = visits.groupBy(*key).agg(F.sum("n_before").alias("n_later"))
+    need = F.least(F.col("n_whole"), F.greatest(F.lit(0), F.lit(keep) - F.coalesce("n_later", F.lit(0))))
+    parts = parts.unionByName(whole.join(later, key, "left").select(*key, (F.col("n_whole") - need + 1).alias("from"), F.col("n_whole").alias("to")))
+    blocks = parts.where("`from` <= `to`").withColumn("block", F.explode(F.sequence(F.expr(f"`from` div {keep}"), F.expr(f"`to` div {keep}"))))
+    return events.withColumn("block", F.expr(f"place div {keep}")).join(blocks, ["subject_id", "block"]).where("place between `from` and `to`").drop("block", "from", "to")
 
 
 def _struct(concept: Column, kind: Column, visit: Column, date: Column) -> Column:
@@ -94,41 +155,40 @@ def sequences(samples: DataFrame, encoded: DataFrame, max_seq_len: int = MAX_SEQ
     """Token arrays per sample: [CLS], then the newest max_seq_len - 1 tokens of all earlier events.
 
     Insertions only add tokens, so the kept tokens lie within the newest max_seq_len - 1 events; one more event is
-    read for the visit change at the cut.  The row_number limit is applied before the shuffle as well
-    (window group limit), so a task holds at most max_seq_len rows per sample.  The encoded events and the visit spans are
-    stored, because the tail, the counts and the totals all read them.
+    read for the visit change at the cut.  Counts come from sums, and of the events only those newest are joined, so a
+    sample brings at most max_seq_len rows, however long the history.  The placed events are stored, because the ranges and the counts read them.
     """
     keep = max_seq_len - 1
-    events = durable(encoded)
-    spans = durable(visit_spans(samples, events, keep + 1))
-    rows = rows_before(spans.where("needed"), placed(events))
-    newest = Window.partitionBy(*SAMPLE).orderBy(F.desc("place"))
-    tail = (rows.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= keep + 1)
-            .groupBy(*SAMPLE).agg(F.array_sort(F.collect_list(F.struct(
-                F.col("place"), F.col("concept_id").alias("c"), F.col("type_id").alias("t"),
-                F.col("visit_id").alias("v"), S.days_since_epoch(F.col("event_time")).alias("d")))).alias("rows")))
+    key = sample_key(samples)
+    samples = unique_samples(samples)
+    events = durable(placed(encoded))
+    whole, visits = history(samples, events)
+    tail = newest_rows(whole, visits, events, keep + 1).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("place"), F.col("concept_id").alias("c"), F.col("type_id").alias("t"),
+        F.col("visit_id").alias("v"), S.days_since_epoch(F.col("event_time")).alias("d")))).alias("rows"))
     if gaps or delimiters:
         pieces = _with_insertions(F.col("rows"), gaps, delimiters)
         pieces = _bind(pieces, lambda p: F.slice(p, F.when(F.size("rows") > keep, 2).otherwise(1), F.lit(keep)))
         body = _bind(F.flatten(pieces), lambda b: F.slice(b, F.greatest(F.size(b) - keep + 1, F.lit(1)), F.lit(keep)))
         # one-element explode: without a node in between, each output array would evaluate the insertions again
-        tail = tail.select(*SAMPLE, F.explode(F.array(body)).alias("body"))
+        tail = tail.select(*key, F.explode(F.array(body)).alias("body"))
     else:
         tail = tail.withColumn("body", F.slice("rows", F.greatest(F.size("rows") - keep + 1, F.lit(1)), F.lit(keep)))
 
-    straddled = rows_before(spans.where("NOT whole"), events).groupBy(*SAMPLE).agg(F.count("*").alias("n_straddled"))
-    visits = F.sum(F.when(F.col("visit_id") != 0, 1).otherwise(0))
-    totals = spans.groupBy(*SAMPLE).agg(F.sum(F.when(F.col("whole"), F.col("n")).otherwise(0)).alias("n_whole"), visits.alias("n_visits"))
-
-    out = samples.join(totals, SAMPLE, "left").join(straddled, SAMPLE, "left").join(tail.select(*SAMPLE, "body"), SAMPLE, "left")
+    totals = visits.groupBy(*key).agg(F.sum("n_before").alias("n_later"), F.sum(F.when(F.col("visit_id") != 0, 1).otherwise(0)).alias("visits_later"))
+    out = (samples.join(whole.select(*key, "n_whole", "visits_whole"), key, "left").join(totals, key, "left")
+           .join(tail.select(*key, "body"), key, "left"))
 
     def after_cls(part: str, first: Column) -> Column:
         head = F.array(first.cast("int"))
         return F.coalesce(F.concat(head, F.col("body")[part]), head)
 
+    def n(*columns: str) -> Column:
+        return sum((F.coalesce(c, F.lit(0)) for c in columns), F.lit(0))
+
     index_day = S.days_since_epoch(F.col("prediction_time"))
-    n_visits, n_body = F.coalesce("n_visits", F.lit(0)), F.when(F.col("body").isNull(), 0).otherwise(F.size("body"))
-    raw = F.lit(1) + F.coalesce("n_whole", F.lit(0)) + F.coalesce("n_straddled", F.lit(0))
+    n_visits, n_body = n("visits_whole", "visits_later"), F.when(F.col("body").isNull(), 0).otherwise(F.size("body"))
+    raw = F.lit(1) + n("n_whole", "n_later")
     if delimiters:
         raw = raw + n_visits * 2
     if gaps:
@@ -139,6 +199,12 @@ def sequences(samples: DataFrame, encoded: DataFrame, max_seq_len: int = MAX_SEQ
         after_cls("d", index_day).alias("dates"), (n_body + 1).alias("seq_len"), raw.cast("int").alias("raw_seq_len"))
 
 
+def horizon_sequences(seqs: DataFrame, horizons: DataFrame) -> DataFrame:
+    """Every sequence once per horizon, with the horizon's task and label (see ``labels.multi_horizon``)."""
+    key = sample_key(seqs)
+    return seqs.drop("binary_label").join(horizons.select(*key, "task_id", "window_days", "binary_label"), key)
+
+
 def with_age(samples: DataFrame, patients: DataFrame) -> DataFrame:
     known = patients.select("subject_id", "anchor_age", "anchor_year")
     years = S.age_years(F.col("anchor_age"), F.col("anchor_year"), F.col("prediction_time"))
@@ -147,24 +213,20 @@ def with_age(samples: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def pad(seqs: DataFrame, length: int | None = None) -> DataFrame:
-    """Right-pad every array with 0 and add the mask (id is not padding).
-
-    By default to the longest sequence: one number, read from the sequences after writing them once.
-    """
-    if length is None:
-        seqs = durable(seqs)
-        length = seqs.agg(F.max("seq_len")).first()[0] or 0
+    """Right-pad every array with 0 and add the mask (id is not padding).  By default to the longest sequence."""
+    longest = seqs.agg(F.max("seq_len")).scalar() if length is None else F.lit(length)
     padded = seqs
     for name in ARRAYS:
-        fill = F.array_repeat(F.lit(0), F.lit(length) - F.size(name))
+        fill = F.array_repeat(F.lit(0), longest - F.size(name))
         padded = padded.withColumn(name, F.concat(name, fill))
     return padded.withColumn("attention_mask", F.transform("concept_ids", lambda c: (c != S.PAD).cast("int")))
 
 
 def token_rows(seqs: DataFrame) -> DataFrame:
     """One row per position."""
-    return seqs.select(*SAMPLE, F.posexplode(F.arrays_zip("concept_ids", "type_ids", "visit_ids", "dates")).alias("position", "x")).select(
-        *SAMPLE, "position", F.col("x.concept_ids").alias("concept_id"), F.col("x.type_ids").alias("type_id"),
+    key = sample_key(seqs)
+    return seqs.select(*key, F.posexplode(F.arrays_zip("concept_ids", "type_ids", "visit_ids", "dates")).alias("position", "x")).select(
+        *key, "position", F.col("x.concept_ids").alias("concept_id"), F.col("x.type_ids").alias("type_id"),
         F.col("x.visit_ids").alias("visit_id"), F.col("x.dates").alias("date"))
 
 
@@ -176,7 +238,7 @@ def decode(seqs: DataFrame, vocab: DataFrame) -> DataFrame:
     token = F.coalesce("token", F.concat(F.lit("["), F.col("concept_id").cast("string"), F.lit("]")))
     label = S.token_label(F.col("token"))
     return rows.withColumn("token", token).select(
-        *SAMPLE, "position", "token", label.alias("label"),
+        *sample_key(seqs), "position", "token", label.alias("label"),
         F.concat(label, F.lit(" [V"), F.col("visit_id").cast("string"), F.lit("]")).alias("visit_label"))
 
 
@@ -190,12 +252,12 @@ def visit_type_counts(seqs: DataFrame) -> DataFrame:
     """Events per sample, visit and type; special tokens and padding left out."""
     names = F.create_map(*[F.lit(x) for name, i in S.TYPE_IDS.items() for x in (i, name)])
     return (token_rows(seqs).where((F.col("concept_id") != S.PAD) & (F.col("type_id") != 0))
-            .groupBy(*SAMPLE, "visit_id", F.try_element_at(names, F.col("type_id")).alias("event_type")).agg(F.count("*").alias("n")))
+            .groupBy(*sample_key(seqs), "visit_id", F.try_element_at(names, F.col("type_id")).alias("event_type")).agg(F.count("*").alias("n")))
 
 
 def first_per_visit(seqs: DataFrame, k: int) -> DataFrame:
     """The first k positions of every visit of every sample."""
-    order = Window.partitionBy(*SAMPLE, "visit_id").orderBy("position")
+    order = Window.partitionBy(*sample_key(seqs), "visit_id").orderBy("position")
     return (token_rows(seqs).where(F.col("concept_id") != S.PAD).withColumn("rank_in_visit", F.row_number().over(order))
             .where(F.col("rank_in_visit") <= k))
 
@@ -211,10 +273,11 @@ def perturb_zero(seqs: DataFrame, vocab: DataFrame, prefix: str) -> DataFrame:
 
     Learned ids follow the binary token order, so those that match form one id range.
     """
-    bounds = vocab.where(F.col("token").startswith(prefix) & (F.col("id") >= len(S.RESERVED))).agg(F.min("id"), F.max("id")).first()
-    lo, hi = (bounds[0], bounds[1]) if bounds[0] is not None else (1, 0)
+    found = vocab.where(F.col("token").startswith(prefix) & (F.col("id") >= len(S.RESERVED)))
+    bounds = found.agg(F.struct(F.min("id").alias("lo"), F.max("id").alias("hi"))).scalar()
     reserved = [i for i, t in enumerate(S.RESERVED) if t.startswith(prefix)]
-    return seqs.withColumn("concept_ids", zero_ids("concept_ids", lambda x, i: x.between(lo, hi) | x.isin(reserved)))
+    edited = seqs.withColumn("_b", bounds).withColumn("concept_ids", zero_ids("concept_ids", lambda x, i: F.coalesce(x.between(F.col("_b.lo"), F.col("_b.hi")), F.lit(False)) | x.isin(reserved)))
+    return edited.drop("_b")
 
 
 def token_id(vocab: DataFrame, token: str) -> int | None:

@@ -276,8 +276,8 @@ def join_anti_first_class(ws):
 @query
 def join_exists_range(ws):
     keys = ["subject_id", "cycle_number"]
-    concurrent = ws.cohort("first_class_only").cycles.select(*keys, F.lit("concurrent").alias("kind"), F.col("has_concurrent_other_class").alias("found"))
-    m = ws.main("main_v2")
+    concurrent = ws.cohort("first_class_only").stored.cycles.select(*keys, F.lit("concurrent").alias("kind"), F.col("has_concurrent_other_class").alias("found"))
+    m = ws.main("main_v2").stored
     seen = T.exists_in_interval(m.cycles.withColumn("prediction_window_end", L.window_end()), m.observations, "observation_time",
                                 F.col("prediction_time"), F.col("prediction_window_end"), "found", keys)
     return concurrent.unionByName(seen.select(*keys, F.lit("observed").alias("kind"), "found"))
@@ -304,14 +304,16 @@ def join_day_expand(ws):
 
 @query
 def join_cumulative_window(ws):
-    """Events before each index time per sample and visit: whole visits from their summary, straddling ones from their rows."""
-    events = durable(ws.timeline())
-    spans = Q.visit_spans(ws.sample_keys, events, 2**31 - 1)
-    cut = Q.rows_before(spans.where("NOT whole"), events).groupBy(*Q.SAMPLE, "visit_id").agg(
-        F.count("*").alias("n_cut"), F.max("event_time").alias("last_cut"))
-    return spans.join(cut, [*Q.SAMPLE, "visit_id"], "left").select(
-        *Q.SAMPLE, "visit_id", F.coalesce("n_cut", "n").alias("n_before"), F.coalesce("last_cut", "hi").alias("last_before"),
-        F.col("whole").cast("int").alias("whole"))
+    """Events before each index time per sample and visit: whole visits from their summary, others from hourly counts."""
+    events = durable(Q.placed(ws.encoded))
+    whole, visits = Q.history(ws.sample_keys, events)
+    per = Q.visit_summary(events).select("subject_id", "visit_id", "rank", "n", "hi")
+    early = whole.join(per, "subject_id").where("rank <= last_whole").select(
+        *Q.SAMPLE, "visit_id", F.col("n").alias("n_before"), F.col("hi").alias("last_before"), F.lit(1).alias("whole"))
+    last = events.select("subject_id", F.col("place").alias("last_place"), F.col("event_time").alias("last_before"))
+    later = (visits.withColumn("last_place", F.col("first") + F.col("n_before") - 1).join(last, ["subject_id", "last_place"])
+             .join(per.select("subject_id", "visit_id", "n"), ["subject_id", "visit_id"]))
+    return early.unionByName(later.select(*Q.SAMPLE, "visit_id", "n_before", "last_before", (F.col("n_before") == F.col("n")).cast("int").alias("whole")))
 
 
 @query
@@ -817,7 +819,7 @@ def _cohort(name):
     return run
 
 
-for _name in ("pan_cancer_ctrcd", "pan_cancer_bimodal", "broad_cv", "narrow_cv", "hf", "hf_v2", "first_class_only", "per_cycle", "uniform_365"):
+for _name in ("pan_cancer_ctrcd", "pan_cancer_bimodal", "broad_cv", "narrow_cv", "hf", "hf_v2", "first_class_only", "per_cycle", "per_cycle_strict", "uniform_365"):
     REGISTRY[f"cohort_{_name}"] = _cohort(_name)
 
 
@@ -855,7 +857,7 @@ def seq_encode(ws):
 
 
 def _sequence_text(df):
-    return df.select(*Q.SAMPLE, text("concept_ids"), text("type_ids"), text("visit_ids"), text("dates"), "seq_len", "raw_seq_len")
+    return df.select(*Q.sample_key(df), text("concept_ids"), text("type_ids"), text("visit_ids"), text("dates"), "seq_len", "raw_seq_len")
 
 
 @query
@@ -873,6 +875,37 @@ def seq_visit_delims(ws):
     return _sequence_text(ws.build_sequences(gaps=True, delimiters=True))
 
 
+# The same over cycles that are counted per drug class: the class is part of the sample's key.
+
+
+@query
+def seq_window_by_class(ws):
+    return _sequence_text(ws.class_sequences)
+
+
+@query
+def seq_visit_delims_by_class(ws):
+    return _sequence_text(Q.sequences(ws.class_samples, ws.class_encoded, 600, gaps=True, delimiters=True))
+
+
+@query
+def feat_bow_by_class(ws):
+    return FE.bag_of_words(ws.class_sequences)
+
+
+@query
+def feat_clinical_by_class(ws):
+    cohort = ws.cohort("pan_cancer_ctrcd")
+    return FE.clinical(ws.class_samples, ws.class_table, O.echo_baselines(cohort.anchor, ws.echo)[0])
+
+
+@query
+def seq_multi_horizon(ws):
+    """Every sequence once per horizon, with the horizon's task and label."""
+    horizons = L.multi_horizon(ws.samples.select("subject_id", "cycle_number", "prediction_time", "binary_label", "first_event_time"))
+    return Q.horizon_sequences(ws.sequences, horizons).select(*Q.SAMPLE, "task_id", "window_days", "binary_label", text("concept_ids"), "seq_len")
+
+
 @query
 def seq_pad_mask(ws):
     return Q.pad(ws.sequences).select(*Q.SAMPLE, text("concept_ids"), text("position_ids"), text("attention_mask"))
@@ -937,8 +970,8 @@ def split_check(ws):
 # Features and model data
 
 
-def _clinical(ws):
-    return FE.clinical(ws.sample_keys, ws.cohort_table, ws.baselines)
+def _clinical(ws, fit_on=None):
+    return FE.clinical(ws.sample_keys, ws.cohort_table, ws.baselines, fit_on)
 
 
 @query
@@ -971,13 +1004,23 @@ def feat_class_weight(ws):
 
 @query
 def model_gbt(ws):
-    return FE.boosted_trees(_clinical(ws), ws.splits, ws.sequences, "combined", seed=42, rounds=5, buckets=64)
+    """Three feature variants and two seeds; what is fixed of the result: samples, split, true label, and that scores are probabilities."""
+    scored = FE.tree_runs(_clinical(ws, ws.splits.where("split = 'train'")), ws.splits, ws.sequences, FE.VARIANTS, seeds=(42, 43), rounds=8, patience=3)
+    return scored.select(*Q.SAMPLE, "split", "variant", "seed", "true_label", F.col("prob_cardiotoxic").between(0, 1).alias("is_probability"))
 
 
 @query
 def pca_project(ws):
-    out = FE.pca_project(ws.raw("embeddings"), "vec_id", "embedding")
-    return rounded(out.select("vec_id", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2")), "pc1", "pc2")
+    """Three sets of vectors in the plane fitted to their union, in numbers that do not depend on the signs of the axes: means,
+    variances and correlation of the coordinates, and how many vectors there are."""
+    rows = ws.raw("embeddings")
+    sets = {f"part_{i}": rows.where(F.col("vec_id") % 3 == i) for i in range(3)}
+    out = FE.pca_joint(sets, "vec_id", "embedding")
+    facts = out.agg(F.count("*").alias("n"), F.count_distinct("source", "vec_id").alias("n_ids"), F.count_distinct("source").alias("n_sources"),
+                    F.round(F.abs(F.avg("pc1")), 6).alias("mean_1"), F.round(F.abs(F.avg("pc2")), 6).alias("mean_2"),
+                    F.round(F.abs(F.covar_samp("pc1", "pc2")), 6).alias("covariance"), F.round(F.var_samp("pc1"), 4).alias("variance_1"),
+                    (F.var_samp("pc1") >= F.var_samp("pc2")).alias("ordered"))
+    return facts
 
 
 # Evaluation
@@ -1051,4 +1094,4 @@ def attr_event_type(ws):
 
 @query
 def attr_feature_by_cycle(ws):
-    return A.token_by_cycle(ws.attributions, "subject_id", "cycle_number", [1, 2, 3, 4], 5)
+    return A.token_by_cycle(ws.attributions, "subject_id", "cycle_number", 5)

@@ -16,7 +16,7 @@ from chronocohort.plans.cohorts import MAIN_SPECS, SPECS, Cohort, MainCohort, Ye
 from chronocohort.session import durable
 from chronocohort.sources.adapters import Clinic
 
-SEQ_LEN = 64
+SEQ_LEN = 600
 
 
 class Workspace(Clinic):
@@ -99,6 +99,25 @@ class Workspace(Clinic):
         """Stage 2 output: plain sequences, written once for the users of stage 2."""
         return self.stage("sequences", self.build_sequences)
 
+    @property
+    def class_table(self) -> DataFrame:
+        return self.stage("class_table", lambda: self.cohort("pan_cancer_ctrcd").table)
+
+    @property
+    def class_samples(self) -> DataFrame:
+        """Samples whose cycles are counted per drug class, so a patient may have the same cycle number several times."""
+        table = binary_table(self.class_table, "eligible_inclusive").select("subject_id", "cycle_number", "drug_class", "prediction_time", "binary_label")
+        return self.stage("class_samples", lambda: table)
+
+    @property
+    def class_encoded(self) -> DataFrame:
+        events = TL.timeline(self, self.class_samples)
+        return TL.encode(events, self.stage("class_vocab", lambda: TL.vocabulary(events)))
+
+    @property
+    def class_sequences(self) -> DataFrame:
+        return self.stage("class_sequences", lambda: Q.sequences(self.class_samples, self.class_encoded, SEQ_LEN))
+
     @cached_property
     def splits(self) -> DataFrame:
         return split_patients(self.samples, 42)
@@ -141,7 +160,7 @@ class Workspace(Clinic):
               .withColumn("item", F.expr("element_at(array('50912', '51006', '59999', '51222_Q1'), CAST(1 + l_suppkey % 4 AS INT))"))
               .withColumn("drug", F.expr("element_at(array('Doxorubicin HCl', 'Imatinib', 'Trastuzumab emtansine conjugate'), CAST(1 + l_partkey % 3 AS INT))")))
         return rx.select(
-            F.col("o_custkey").alias("subject_id"), F.expr("CAST(1 + l_orderkey % 4 AS INT)").alias("cycle_number"),
+            F.col("o_custkey").alias("subject_id"), F.expr("CAST(1 + l_orderkey % 7 AS INT)").alias("cycle_number"),
             F.expr("l_orderkey * 10 + l_linenumber").alias("position"), token.alias("token"),
             (F.col("l_extendedprice") / 77777).alias("rollout_score"), (F.abs(F.col("l_quantity") - 25) / 25).alias("ig_score_l2"),
             (F.col("l_quantity") - 25).alias("ig_score_signed"), F.expr("CAST(1 + l_suppkey % 6 AS INT)").alias("visit"),
@@ -152,5 +171,5 @@ _STAGES: dict[tuple[str, str], dict] = {}
 
 
 def workspace(spark: SparkSession, folder: str) -> Workspace:
-    """A new job's workspace; jobs of one session over one folder share its stage outputs."""
+    """A new job's workspace; jobs of one session over one folder share its stage outputs.  Files that change during a session are not noticed."""
     return Workspace(spark, folder, _STAGES.setdefault((spark.sparkContext.applicationId, folder), {}))

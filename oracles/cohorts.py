@@ -8,12 +8,12 @@ from oracles import name
 NAMES = {
     "anthracycline": "doxorubicin|adriamycin|doxil|caelyx|myocet|daunorubicin|cerubidine|daunoxome|epirubicin|ellence|"
                      "pharmorubicin|idarubicin|idamycin|zavedos|mitoxantrone|novantrone",
-    "her2_targeted": "trastuzumab|herceptin|pertuzumab|perjeta|kadcyla|emtansine|enhertu|margetuximab|margenza|"
-                     "lapatinib|tykerb|neratinib|nerlynx|tucatinib|tukysa",
+    "her2_targeted": "trastuzumab|herceptin|pertuzumab|perjeta|ado[- ]?trastuzumab|kadcyla|emtansine|trastuzumab.deruxtecan|enhertu|"
+                     "margetuximab|margenza|lapatinib|tykerb|neratinib|nerlynx|tucatinib|tukysa",
     "immune_checkpoint_inhibitor": "pembrolizumab|keytruda|nivolumab|opdivo|cemiplimab|libtayo|atezolizumab|tecentriq|"
                                    "durvalumab|imfinzi|avelumab|bavencio|ipilimumab|yervoy|tremelimumab|imjudo",
     "taxane": "paclitaxel|taxol|abraxane|docetaxel|taxotere|cabazitaxel|jevtana",
-    "fluoropyrimidine": "fluorouracil|5fu|capecitabine|xeloda",
+    "fluoropyrimidine": "fluorouracil|5-fluorouracil|5fu|capecitabine|xeloda",
     "vegf_inhibitor": "bevacizumab|avastin|aflibercept|zaltrap|eylea|ramucirumab|cyramza",
     "egfr_inhibitor": "cetuximab|erbitux|panitumumab|vectibix",
     "tyrosine_kinase_inhibitor": "sunitinib|sutent|imatinib|gleevec|glivec|dasatinib|sprycel|nilotinib|tasigna|ponatinib|"
@@ -26,16 +26,16 @@ THREE = list(NAMES)[:3]
 GENERIC = {
     "anthracycline": "doxorubicin|daunorubicin|epirubicin|idarubicin",
     "immune_checkpoint_inhibitor": "nivolumab|pembrolizumab|atezolizumab|ipilimumab|durvalumab|avelumab|cemiplimab",
-    "her2_targeted": "trastuzumab|pertuzumab|emtansine",
+    "her2_targeted": "trastuzumab|pertuzumab|ado-trastuzumab|emtansine",
     "taxane": "paclitaxel|docetaxel|cabazitaxel",
-    "fluoropyrimidine": "fluorouracil|capecitabine",
+    "fluoropyrimidine": "fluorouracil|5-fluorouracil|capecitabine",
     "vegf_inhibitor": "bevacizumab|aflibercept|ramucirumab",
     "egfr_inhibitor": "cetuximab|panitumumab",
     "tyrosine_kinase_inhibitor": "sunitinib|imatinib|dasatinib|nilotinib|ponatinib|sorafenib|pazopanib|cabozantinib|axitinib|lenvatinib",
     "proteasome_inhibitor": "bortezomib|carfilzomib|ixazomib",
     "immunomodulatory_agent": "lenalidomide|thalidomide|pomalidomide",
 }
-V1_LIST = ("doxorubicin|daunorubicin|epirubicin|trastuzumab|paclitaxel|docetaxel|fluorouracil|capecitabine|bevacizumab|cetuximab|"
+V1_LIST = ("doxorubicin|daunorubicin|epirubicin|trastuzumab|paclitaxel|docetaxel|fluorouracil|5-fluorouracil|capecitabine|bevacizumab|cetuximab|"
            "sunitinib|imatinib|bortezomib|carfilzomib|lenalidomide|thalidomide|pomalidomide|nivolumab|pembrolizumab|atezolizumab")
 
 # Code prefixes.
@@ -43,11 +43,11 @@ HF = {10: "I50", 9: "428"}
 CMP = {10: "I42", 9: "425"}
 ARR = {10: "I44|I45|I47|I48|I49", 9: "426|427"}
 NARROW = {10: "I21|I22|I23|I30|I31|I40|I41|I42|I46|I50|I514", 9: "410|411|420|421|422|423|425|428"}
-BROAD = {10: "I2[123]|I3[01]|I4[0124-9]|I50|I514", 9: "41[01]|42[0-35-8]"}
-YEAR = "425|428|41[0-4]|I42|I50|I2[123]|I6[34]"
-V1 = "425|428|41[0-4]|42[0-3]|42[67]|I42|I50|I2[123]|I6[34]|I3[01]|I4[01]|I4[4-9]|I514"
-V2 = "425|428|41[013]|42[0-3]|42[67]|I42|I50|I2[123]|I6[34]|I3[01]|I4[01]|I4[4-9]|I51"
-PRIOR = {9: "1[4-9]|20|23", 10: "C|D0"}
+BROAD = {10: "I21|I22|I23|I30|I31|I40|I41|I42|I44|I45|I46|I47|I48|I49|I50|I514", 9: "410|411|420|421|422|423|425|426|427|428"}
+YEAR = "425|428|410|411|412|413|414|I42|I50|I21|I22|I23|I63|I64"
+V1 = "425|428|410|411|412|413|414|420|421|422|423|426|427|I42|I50|I21|I22|I23|I63|I64|I30|I31|I40|I41|I44|I45|I46|I47|I48|I49|I514"
+V2 = "425|428|410|411|413|420|421|422|423|426|427|I42|I50|I21|I22|I23|I63|I64|I30|I31|I40|I41|I44|I45|I46|I47|I48|I49|I51"
+PRIOR = {9: "14|15|16|17|18|19|20|23", 10: "C|D0"}
 
 
 def coded(codes, alias="") -> str:
@@ -125,7 +125,7 @@ def values(windows: dict) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {d}, '{w}')" for c, (d, w) in windows.items()) + ") w(drug_class, days, why)"
 
 
-def exposures(p: str, keys: str, windows: dict | None, fallback: str = "fallback") -> None:
+def exposures(p: str, keys: str, windows: dict | None, fallback: str = "fallback", strict: bool = False) -> None:
     """Day, numbered-day and cycle relations over {p}_starts; ``keys`` is the partition."""
     name(**{
         f"{p}_days": f"""SELECT {keys}, starttime::DATE AS d, min(starttime) AS t0, count(*) AS n,
@@ -137,7 +137,7 @@ def exposures(p: str, keys: str, windows: dict | None, fallback: str = "fallback
     if windows is not None:
         name(**{f"{p}_windows": values(windows)})
     span = f"""min(t0) AS prediction_time, min(d) AS cycle_start_date, max(d) AS cycle_end_date,
-        count(*) AS n_exposure_start_days_in_cycle, CAST(sum(n) AS BIGINT) AS n_prescription_rows_in_cycle"""
+        count(*) AS n_exposure_start_days_in_cycle, CAST(sum({'n * n' if strict else 'n'}) AS BIGINT) AS n_prescription_rows_in_cycle"""
     if "drug_class" in keys:
         name(**{f"{p}_cycles": f"""SELECT c.*, days AS toxicity_window_days, why AS window_rationale FROM (
             SELECT {keys}, cycle_number, {span}, string_agg(DISTINCT day_list, ' | ' ORDER BY day_list) AS drugs_in_cycle
@@ -186,17 +186,18 @@ def labelled(p: str, event: str, died: str, strict: str, body: str, out: str) ->
 ECHO = ["first_echo_event_time", "first_echo_event_type", "baseline_lvef", "event_lvef", "lvef_drop_pp", "baseline_gls", "event_gls", "gls_relative_decrease"]
 
 
-def cohort(p: str, classes=tuple(NAMES), windows=UNIFORM, incident=BROAD, arrhythmia=False, echo=True, joint=False, first_class=None) -> None:
+def cohort(p: str, classes=tuple(NAMES), windows=UNIFORM, incident=BROAD, arrhythmia=False, echo=True, joint=False, first_class=None,
+           strict=False) -> None:
     keys = "subject_id" if joint else "subject_id, drug_class"
     name(**{
         f"{p}_starts": f"""SELECT * FROM (SELECT subject_id, hadm_id, pharmacy_id, starttime, lower(drug) AS drug,
             {class_case({c: NAMES[c] for c in classes})} AS drug_class FROM rx) WHERE drug_class IS NOT NULL AND subject_id IN (FROM elig)""",
         f"{p}_anchor": f"SELECT subject_id, min(starttime) AS f FROM {p}_starts GROUP BY subject_id",
     })
-    exposures(p, keys, windows)
+    exposures(p, keys, windows, strict=strict)
     groups = {"hf": HF, "cmp": CMP} | ({"arrhythmia": ARR} if arrhythmia else {})
-    past = ", ".join(f"CAST(coalesce(max(CASE WHEN {coded(c, 'd')} AND s.dischtime <= a.f THEN 1 END), 0) AS INT) AS has_pre_existing_{g}"
-                     for g, c in groups.items())
+    past = ", ".join(f"CAST(coalesce(max(CASE WHEN {coded(c, 'd')} AND s.dischtime <= a.f {'OR ' + coded({10: c[10]}, 'd') if strict else ''} THEN 1 END), 0) AS INT)"
+                     f" AS has_pre_existing_{g}" for g, c in groups.items())
     any_two = "greatest(has_pre_existing_hf, has_pre_existing_cmp) AS has_pre_existing_hf_or_cmp"
     any_all = ", greatest(has_pre_existing_hf, has_pre_existing_cmp, has_pre_existing_arrhythmia) AS has_pre_existing_cardiac" if arrhythmia else ""
     name(**{
@@ -244,12 +245,12 @@ def cohort(p: str, classes=tuple(NAMES), windows=UNIFORM, incident=BROAD, arrhyt
         return f"""SELECT * , prediction_time + to_days(toxicity_window_days) AS prediction_window_end FROM {cycles} LEFT JOIN {events} USING (subject_id)
             LEFT JOIN {p}_history USING (subject_id) LEFT JOIN {p}_death USING (subject_id) LEFT JOIN {p}_seen USING (subject_id)"""
 
-    strict = "has_pre_existing_cardiac" if arrhythmia else "has_pre_existing_hf_or_cmp"
+    clean = "has_pre_existing_cardiac" if arrhythmia else "has_pre_existing_hf_or_cmp"
     if echo:
-        labelled(p, "first_event_time", "died_in_window_before_event", strict, body(f"{p}_event"), f"{p}_table")
+        labelled(p, "first_event_time", "died_in_window_before_event", clean, body(f"{p}_event"), f"{p}_table")
     else:
-        labelled(p, "hf_event_time", "died_in_window_before_hf", strict, body(f"{p}_incident"), f"{p}_table")
-    labelled(p, "first_echo_event_time", "died_in_window_before_echo_event", strict, body(f"{p}_echo"), f"{p}_echo_table")
+        labelled(p, "hf_event_time", "died_in_window_before_hf", clean, body(f"{p}_incident"), f"{p}_table")
+    labelled(p, "first_echo_event_time", "died_in_window_before_echo_event", clean, body(f"{p}_echo"), f"{p}_echo_table")
 
 
 cohort("ctrcd")
@@ -260,6 +261,7 @@ cohort("hf", classes=THREE, windows=HFWIN, incident=HF, echo=False)
 cohort("hfb", classes=THREE, windows=HFWIN, incident=HF)
 cohort("fco", windows=FIRSTWIN, first_class="anthracycline")
 cohort("pcr", windows=CYCLEWIN, incident=HF, joint=True)
+cohort("pcs", windows=CYCLEWIN, incident=HF, joint=True, strict=True)
 cohort("pcu", windows=None, incident=HF, joint=True)
 
 

@@ -6,7 +6,7 @@ name(
     sc="""SELECT o_orderkey AS row_idx, o_custkey AS subject_id, CAST(1 + o_orderkey % 4 AS INT) AS cycle_number, o_orderdate AS prediction_time,
         CASE WHEN (o_orderkey * 31 + o_custkey) % 3 = 0 THEN 1 ELSE 0 END AS y, ((o_orderkey * 7919) % 1000) / 1000.0::DOUBLE AS p,
         lower(replace(o_orderpriority, ' ', '_')) AS variant, CAST(o_orderkey % 5 AS INT) AS seed, CAST(o_orderkey % 3 AS INT) AS task_id FROM orders""",
-    att="""SELECT o_custkey AS subject_id, CAST(1 + l_orderkey % 4 AS INT) AS cycle_number, l_orderkey * 10 + l_linenumber AS position,
+    att="""SELECT o_custkey AS subject_id, CAST(1 + l_orderkey % 7 AS INT) AS cycle_number, l_orderkey * 10 + l_linenumber AS position,
         CASE l_linenumber % 4 WHEN 0 THEN CASE WHEN l_partkey % 2 = 0 THEN 'diagnosis::I500_ICDver10' ELSE 'diagnosis::4280_ICDver9' END
             WHEN 1 THEN 'lab::' || ['50912', '51006', '59999', '51222_Q1'][1 + CAST(l_suppkey % 4 AS INT)]
             WHEN 2 THEN 'medication::' || ['doxorubicin hcl', 'imatinib', 'trastuzumab emtansine conjugate'][1 + CAST(l_partkey % 3 AS INT)]

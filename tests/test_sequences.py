@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from small import at, rows
 
 from chronocohort.functions import scalars as S
+from chronocohort.operators import features as FE
+from chronocohort.operators import labels as L
 from chronocohort.operators import sequence as Q
 from chronocohort.operators import timeline as TL
 
@@ -67,6 +69,44 @@ def test_event_at_index_is_excluded_and_empty_history_gives_cls(spark):
     assert got[2]["concept_ids"] == [S.CLS] and got[2]["seq_len"] == 1 and got[2]["raw_seq_len"] == 1
 
 
+def test_classes_with_one_cycle_number_keep_apart(spark):
+    events = spark.createDataFrame([event(1, at(d), 1, f"e{d}", cid=30 + d) for d in range(6)], EVENTS)
+    samples = spark.createDataFrame([(1, 1, "a", at(2), 0), (1, 1, "b", at(4), 1)], "subject_id long, cycle_number int, drug_class string, prediction_time timestamp_ntz, binary_label int")
+    got = {r["drug_class"]: (r["concept_ids"], r["raw_seq_len"]) for r in Q.sequences(samples, events, 50).collect()}
+    assert got == {"a": ([S.CLS, 30, 31], 3), "b": ([S.CLS, 30, 31, 32, 33], 5)}
+    counts = rows(FE.bag_of_words(Q.sequences(samples, events, 50)), "drug_class", "token_id", "n")
+    assert counts == [("a", 30, 1), ("a", 31, 1), ("b", 30, 1), ("b", 31, 1), ("b", 32, 1), ("b", 33, 1)]
+
+
+def test_samples_that_share_a_key_are_an_error(spark):
+    samples = spark.createDataFrame([(1, 1, at(2), 0), (1, 1, at(4), 0)], SAMPLES)
+    with pytest.raises(Exception, match="share a key"):
+        Q.sequences(samples, spark.createDataFrame([event(1, at(0), 1, "a")], EVENTS), 50).collect()
+
+
+def test_a_hot_visit_brings_each_sample_only_its_newest_rows(spark):
+    """One visit of many rows and many cycles within and after it: joined rows stay within samples x length."""
+    n, length, cycles = 20_000, 20, 40
+    start = F.expr("timestamp_ntz'2020-01-01 00:00:00'")
+    events = spark.range(n).select(
+        F.lit(1).cast("long").alias("subject_id"), F.lit(1).cast("long").alias("hadm_id"), start.alias("admittime"), (start + F.expr("make_dt_interval(0, 0, 0, id)")).alias("event_time"),
+        F.lit("lab").alias("event_type"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("concept_token"), F.lit(0).alias("event_priority"), F.lit(1).alias("visit_id"),
+        (F.col("id") + 21).cast("int").alias("concept_id"), F.lit(3).alias("type_id"))
+    samples = spark.createDataFrame([(1, c, at(0, c * 1000), 0) for c in range(1, cycles + 1)], SAMPLES)
+    placed = Q.placed(events)
+    whole, visits = Q.history(samples, placed)
+    assert Q.newest_rows(whole, visits, placed, length).count() == cycles * length
+    for r in Q.sequences(samples, events, length).collect():
+        before = min(n, r["cycle_number"] * 1000)
+        assert r["raw_seq_len"] == before + 1 and r["concept_ids"] == [S.CLS, *range(before - length + 1 + 21, before + 21)]
+
+
+def test_horizons_repeat_the_sequence(spark):
+    seqs = Q.sequences(spark.createDataFrame([(1, 1, at(3), 1)], SAMPLES), spark.createDataFrame([event(1, at(1), 1, "a", cid=33)], EVENTS), 9)
+    horizons = L.multi_horizon(spark.createDataFrame([(1, 1, at(3), 1, at(120))], SAMPLES + ", first_event_time timestamp_ntz"))
+    assert rows(Q.horizon_sequences(seqs, horizons), "window_days", "binary_label", "concept_ids") == [(180, 1, [2, 33]), (365, 1, [2, 33]), (90, 0, [2, 33])]
+
+
 def test_gap_tokens(spark):
     days = spark.createDataFrame([(d,) for d in (0, 27, 28, 29, 30, 359, 360)], "d int")
     assert [r[0] for r in days.select(S.gap_id(F.col("d"))).collect()] == [S.RESERVED.index(t) if t else 1 for t in ("W0", "W3", None, None, "M1", "M11", "LT")]
