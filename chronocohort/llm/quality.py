@@ -77,11 +77,15 @@ def _measures(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(FIELDS))], names=FIELDS)
 
 
+# Called nondeterministic so that no filter on a measure is moved below and has it evaluated a second time.
+_measures_once = _measures.asNondeterministic()
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the figures of FIELDS."""
     small_batches(docs.sparkSession)
     held = "_measures" + "_" * max(len(c) for c in docs.columns)
-    out = docs.withColumn(held, _measures(F.col(text)))
+    out = docs.withColumn(held, _measures_once(F.col(text)))
     return out.withColumns({f: F.col(f"{held}.{f}") for f in FIELDS}).drop(held)
 
 

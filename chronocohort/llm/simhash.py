@@ -60,9 +60,13 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
     return _signed([fingerprint(x) for x in raw_texts(texts)])
 
 
+# Called nondeterministic so that no filter on a fingerprint is moved below and has it evaluated a second time.
+_fingerprints_once = _fingerprints.asNondeterministic()
+
+
 def fingerprints(text: str = "text") -> Column:
     """The fingerprint of a text column as a signed long; a null text counts as empty."""
-    return _fingerprints(F.col(text))
+    return _fingerprints_once(F.col(text))
 
 
 def variants(fp: str = "fp") -> Column:
