@@ -56,6 +56,22 @@ def test_fit_on_pattern_counts_is_fit_on_documents():
     assert by_count["ggg"] > 0.5 > by_count["bbg"]
 
 
+def test_a_bad_call_that_many_clean_documents_share_does_not_reject_them():
+    rng = random.Random(3)
+    bad = Counter("".join("b" if k in hit else "g" for k in range(8)) for hit in (rng.sample(range(8), 3) for _ in range(1000)))
+    for share in (10, 20, 25, 30, 33, 40, 50):
+        counts = Counter({"gggggggg": 90 * (100 - share), "gggggggb": 90 * share}) + bad
+        got = Q.fit(counts)
+        assert got["gggggggg"] > 0.9 and got["gggggggb"] > 0.9, share
+        assert all(got[p] < 0.5 for p in bad), share
+    assert Q.fit({"gggggggg": 700, "gggggggb": 300})["gggggggg"] > 0.5
+
+
+def test_short_words_are_counted_in_code_points():
+    n_short = Q.FIELDS.index("n_short")
+    assert Q.measure("он и она 猫 été quatre".encode())[n_short] == 5
+
+
 def test_verdicts_on_labelled_documents(spark):
     folder = "/root/testdata/sf0.01"
     measured = Q.measures(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")).drop("text").cache()
