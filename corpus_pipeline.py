@@ -60,13 +60,15 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     tune(spark)
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # numbering rows of a key and joining them share one shuffle
     taken = mixing.mix(mixing.sizes(docs), SEED).where("copies > 0 or part > 0")
-    order = Window.partitionBy("k")
-    taken = taken.select(_key().alias("k"), "source", "size", "copies", "part").withColumn("i", F.row_number().over(order.orderBy("source", "size", F.desc("copies"), F.desc("part"))))
-    rows = _packed(docs, k=_key(), source=F.col("source"), size=mixing.size_of(), mark=F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    rows = rows.withColumn("i", F.row_number().over(order.orderBy("source", "size", "mark"))).select("row", "k", "i")
+    same = ["k", "s", "size"]  # rows alike in these may be taken for each other
+    s = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("s")
+    order = Window.partitionBy(*same)
+    taken = taken.select(_key().alias("k"), s, "size", "copies", "part").withColumn("i", F.row_number().over(order.orderBy(F.desc("copies"), F.desc("part"))))
+    rows = _packed(docs, k=_key(), s=s, size=mixing.size_of(), mark=F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    rows = rows.withColumn("i", F.row_number().over(order.orderBy("mark"))).select("row", *same, "i")
     takes = F.concat(F.transform(F.sequence(F.lit(0), F.col("copies")), lambda x: F.lit(-1).cast("long")), F.array("part"))
     takes = F.filter(F.slice(takes, F.lit(2), F.size(takes)), lambda x: x != 0)
-    out = rows.join(taken.select("k", "i", takes.alias("takes")), ["k", "i"]).select("row", F.explode("takes").alias("words"))
+    out = rows.join(taken.select(*same, "i", takes.alias("takes")), [*same, "i"]).select("row", F.explode("takes").alias("words"))
     text = F.when(F.col("words") < 0, F.col("row.text")).otherwise(F.array_join(F.slice(F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " "))
     out = out.withColumn("row", out["row"].withField("text", text))
     if "n_chars" in docs.columns:

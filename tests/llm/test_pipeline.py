@@ -60,6 +60,18 @@ def test_documents_with_secrets_go(spark):
     assert order(stage(spark, 2, rows)) == order([r for r in rows if not spans(r[1])])
 
 
+def test_copies_go_to_the_rows_that_the_mix_takes(spark):
+    # Source b is taken often; every doc_id is in a too, as are rows without an id and without words.
+    rng = random.Random(5)
+    rows = [(i % 40 if i % 7 else None, " ".join(rng.choice("xyz") + str(i) for _ in range(rng.choice([0, 5, 9, 400 if i < 40 else 9]))) or rng.choice([None, ""]), "en", "a" if i < 40 else rng.choice(["b", "c", None]), 1, "clash", 1, "x", "y", 2, 3) for i in range(240)]
+    want, got = {}, {}
+    for _, s, _, target, _, t in mixed([(r[0], r[1], r[3]) for r in rows]):
+        want[s] = want.get(s, 0) + t
+    for r in stage(spark, 3, rows):
+        got[r[3]] = got.get(r[3], 0) + len(r[1].split())
+    assert got == {s: t for s, t in want.items() if t}
+
+
 def test_documents_are_repeated_as_the_mix_takes_them(spark):
     rows = docs_of()
     got = stage(spark, 3, rows)
