@@ -42,6 +42,9 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}", 16),
 )
 
+#: Rules by which documents are removed: as above, but a run of hex digits counts only if it holds a letter.
+CREDENTIALS = (*RULES[:2], Rule("hex", r"(?<![0-9a-f])(?=[0-9]*+[a-f])[0-9a-f]{16,}", 16, version=2))
+
 FINDING = "blob binary, rule string, kind string, start long, end long"
 SCANNED = "blob binary, rule string"
 
@@ -117,8 +120,8 @@ def join_back(named: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES)
     return named.join(spans(ledger, rules), "blob", "left").withColumn("found", F.coalesce("found", none))
 
 
-def clean(docs: DataFrame, ledger: Ledger, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text the ledger lists no secret for."""
+def clean(docs: DataFrame, ledger: Ledger, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Rows of ``docs`` whose text the ledger lists no secret by ``rules`` for."""
     at = "_blob" + "_" * max(len(c) for c in docs.columns)
-    dirty = ledger.findings.select(F.col("blob").alias(at)).distinct()
+    dirty = ledger.findings.where(F.col("rule").isin([r.key for r in rules])).select(F.col("blob").alias(at)).distinct()
     return docs.withColumn(at, blob(text)).join(dirty, at, "left_anti").select(*docs.columns)

@@ -60,6 +60,12 @@ def test_documents_with_secrets_go(spark):
     assert order(stage(spark, 2, rows)) == order([r for r in rows if not spans(r[1])])
 
 
+def test_documents_with_long_numbers_stay(spark):
+    texts = ["call 9807915762804490 now", "1" * 5000, "key 98079157628044a0 now", "id 98079157628044900f", "fe 0123456789 abcdef", "AKIA99999999999999", "token=1234567890123456"]
+    rows = [(i, t, "en", "a", len(t), "clash", 1, "x", "y", 2, 3) for i, t in enumerate(texts)]
+    assert sorted(r[0] for r in stage(spark, 2, rows)) == [0, 1, 4]
+
+
 def test_copies_go_to_the_rows_that_the_mix_takes(spark):
     # Source b is taken often; every doc_id is in a too, as are rows without an id and without words.
     rng = random.Random(5)
