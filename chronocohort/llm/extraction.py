@@ -26,9 +26,11 @@ from chronocohort.llm.base import small_batches
 WINDOW = 3
 SURGE = 86
 
-# Quoted values in a tag are taken up to a length, so that a stray quote costs no search to the end of the page.
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'"<>]|"[^"]{0,8192}"|'[^']{0,8192}')*+|[^>]{0,8192})>|<[!?][^>]*>""", re.S)
-HINT = re.compile(r"""\b(class|id|role|aria-label|hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?][^>]*>""", re.S)
+#: What stands between the name of a tag and the value of its next attribute, or the end of it.
+PLAIN = re.compile(r"""(?:[^=>]++|=\s*+[^\s"'>][^\s>]*+|=\s*+(?=>))*+(?:>|=\s*+(["']))""")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HINT = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
 
 #: Elements whose content is no markup.
 RAW = {"script", "style", "noscript", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
@@ -47,11 +49,11 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 
 def _named_off(name: str, attributes: str) -> bool:
     """Whether the attributes of an element say that it holds no main text."""
-    if not attributes or name in ("html", "body") or name in MAIN:
+    if name in ("html", "body") or name in MAIN or not HINT.search(attributes):
         return False
-    for key, *values in HINT.findall(attributes):
+    for key, *values in ATTRIBUTE.findall(attributes):
         value, key = "".join(values).lower(), key.lower()
-        if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if key == "role" and value.strip() in ROLES:
             return True
@@ -60,6 +62,22 @@ def _named_off(name: str, attributes: str) -> bool:
     return False
 
 
+def _end(page: str, at: int, failed: set[int]) -> int:
+    """Where the tag whose name ends at ``at`` ends: after the first > outside of quoted values, however long; if a quote is never closed,
+    after the first > of all; -1 without one.  ``failed`` holds the places of values from which no end was found, so that all calls for a
+    page take time in proportion to it."""
+    tried, here = [], at
+    while (m := PLAIN.match(page, here)) and here not in failed:
+        if not m[1]:
+            return m.end()
+        tried.append(here)
+        here = page.find(m[1], m.end()) + 1
+        if not here:
+            break
+    failed.update(tried)
+    return page.find(">", at) + 1 or -1
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
     """(text, characters of it in links, inside an article) for each block; gaps are empty lines."""
     out: list[tuple[str, int, bool]] = []
@@ -85,12 +103,16 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             if in_link:
                 linked += len(decoded.strip())
 
-    at = 0
+    at, failed = 0, set()
     while m := TAG.search(page, at):
+        end = _end(page, m.end(), failed) if m[2] else m.end()
+        if end < 0:  # no > is left
+            break
         keep(page[at : m.start()])
-        at = m.end()
+        at = end
         if not m[2]:
             continue
+        attributes = page[m.end() : at - 1]
         name, closing = m[2].lower(), bool(m[1])
         if skip:
             if name == skip and name not in VOID:
@@ -114,7 +136,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             close()
             main = max(0, main + (-1 if closing else 1))
             close(gap=True)
-        elif not closing and name not in VOID and (name in ASIDE or name == "header" and not main or _named_off(name, m[3] or "")):
+        elif not closing and name not in VOID and (name in ASIDE or name == "header" and not main or _named_off(name, attributes)):
             close(gap=True)
             skip, depth = name, 1
         elif name == "a":

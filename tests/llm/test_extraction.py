@@ -38,6 +38,16 @@ def test_short_and_broken_pages():
     assert extract("<a '" * 3000 + ">x") in ("x", extract("<a '" * 3000 + ">x"))
 
 
+def test_tags_of_any_length():
+    data = "data:image/png;base64," + "A" * 20000
+    assert extract(f'<article><p>One</p><img src="{data}"><p class=x title=it\'s>two <img alt=\'{data}>\' src={data}>three</p></article>') == "One\ntwo three"
+    assert extract(f"<p>{LONG}</p><div class='ad' data-x='{data}>'>{LONG}</div>") == LONG
+    assert extract(f"<article><p title='hidden class=ad' data-json='{{\"hidden\": 1}}'>{LONG}</p></article>") == LONG
+    assert extract(f'<p title="never closed>{LONG}') == LONG
+    assert extract('<i b="\'>' * 50000 + '<i b=\'">' * 50000 + 'end') == 'end'
+    assert extract("x <a b=' " * 50000).startswith("x <a b='")
+
+
 def test_column(spark):
     pages = spark.createDataFrame([(1, PAGE, "clash"), (1, PAGE, None), (2, None, None), (None, "", None)], "page_id long, html string, text string")
     got = pages.select("page_id", main_text(spark).alias("main")).collect()
