@@ -4,7 +4,8 @@ Markup is stripped into lines, one for each block of the page; what cannot be ma
 footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) leaves a gap of empty lines, and so do the borders of an
 article.  Text lengths are summed over sliding windows of lines.  The text surges where a window passes the threshold and dives where windows
 are empty; the lines between the dives around each surge are kept.  If no window passes the threshold, the largest one takes its place.  If a page marks its
-article, surges outside are not main text; else lines that are mostly links count as empty.
+article, all text in it is main text, however short what stands between two gaps, and surges outside are not; else lines that are mostly
+links count as empty.
 
 Character references are decoded once, white space in a block becomes one space, blocks are joined by a newline.  A null html counts as
 empty; an empty page, or one without text, gives the empty text.  Repeated rows are extracted alike; very long pages are read whole.  An empty table gives an empty
@@ -35,7 +36,7 @@ HINT = re.compile(r"\b(?:class|id|role|hidden|style)\b", re.I)
 #: Elements whose content is no markup.
 RAW = {"script", "style", "noscript", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 #: Elements that never hold main text.
-ASIDE = {"nav", "footer", "aside", "form", "button", "select", "template", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "map", "fieldset", "figure"}
+ASIDE = {"nav", "footer", "aside", "form", "button", "select", "template", "dialog", "menu", "svg", "canvas", "object", "audio", "video", "map", "fieldset"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar", "tablist"}
 #: Words in class and id that name what is no main text.
 WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side",
@@ -43,7 +44,7 @@ WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "spon
          "share", "sharing", "social", "related", "recommended", "trending", "widget", "pagination", "pager", "toolbar", "skip", "copyright", "legal", "disclaimer", "alert"}
 MAIN = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-BLOCKS = HEADINGS | MAIN | {"p", "div", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "section", "header", "footer", "nav", "aside", "blockquote", "pre", "address", "hr", "figcaption", "details", "summary", "body", "html", "center", "hgroup"}
+BLOCKS = HEADINGS | MAIN | {"p", "div", "ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "section", "header", "footer", "nav", "aside", "blockquote", "pre", "address", "hr", "figure", "figcaption", "details", "summary", "body", "html", "center", "hgroup"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
 
@@ -151,7 +152,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     return out
 
 
-def regions(sizes: list[int]) -> list[tuple[int, int]]:
+def regions(sizes: list[int], surge: int = SURGE) -> list[tuple[int, int]]:
     """(first, stop) of the lines between the dives around each surge."""
     if not any(sizes):
         return []
@@ -159,7 +160,7 @@ def regions(sizes: list[int]) -> list[tuple[int, int]]:
     for s in sizes:
         total.append(total[-1] + s)
     windows = [total[min(i + WINDOW, len(sizes))] - total[i] for i in range(len(sizes))]
-    bar = min(SURGE, max(windows))
+    bar = min(surge, max(windows))
     out, at = [], 0
     while at < len(sizes):
         if not sizes[at]:
@@ -182,7 +183,7 @@ def extract(page: str) -> str:
         found = [x if x[2] else ("", 0, False) for x in found]
     # Where no article is marked, lines that are mostly links count as empty.
     sizes = [0 if not marked and 2 * links > len(text) else len(text) for text, links, _ in found]
-    return "\n".join(text for first, stop in regions(sizes) for text, _, _ in found[first:stop] if text)
+    return "\n".join(text for first, stop in regions(sizes, 1 if marked else SURGE) for text, _, _ in found[first:stop] if text)
 
 
 @F.arrow_udf(T.StringType())

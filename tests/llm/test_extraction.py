@@ -48,6 +48,13 @@ def test_tags_of_any_length():
     assert extract("x <a b=' " * 50000).startswith("x <a b='")
 
 
+def test_short_blocks_between_gaps_in_an_article_stay():
+    page = f"<main><h1>Title</h1><article><p>By A.</p><div class=ad>{LONG}</div><p>{LONG}</p><button>Share</button><p>The end.</p></article></main><p>Out</p>"
+    assert extract(page) == f"Title\nBy A.\n{LONG}\nThe end."
+    assert extract(f"<article><p>{LONG}</p><figure><img src=x><svg><p>no</p></svg><figcaption>Figure 1</figcaption></figure></article>") == f"{LONG}\nFigure 1"
+    assert extract(f"<p>{LONG}</p><form>x</form><p>Tiny</p>") == LONG  # nothing is marked
+
+
 def test_column(spark):
     pages = spark.createDataFrame([(1, PAGE, "clash"), (1, PAGE, None), (2, None, None), (None, "", None)], "page_id long, html string, text string")
     got = pages.select("page_id", main_text(spark).alias("main")).collect()
