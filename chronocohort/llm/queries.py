@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronocohort.llm import bpe, extraction, ledger, mixing, permutation, quality, recompression, sharding, simhash, warc
+from chronocohort.llm import bpe, extraction, ledger, lexical, mixing, multiset, permutation, quality, recompression, sharding, simhash, trie, warc
 from chronocohort.llm.base import table
 from chronocohort.session import durable, output_path, tune
 
@@ -131,3 +131,25 @@ def op7_main_text(spark, sf_dir):
 def op9_recompression(spark, sf_dir):
     kept = recompression.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_fptree(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), 10)
+
+
+ORACLES["op11_fptree"] = lexical.ORACLE
+
+
+@query
+def op12_multiset(spark, sf_dir):
+    return multiset.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_trie(spark, sf_dir):
+    return trie.trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+ORACLES["op13_trie"] = trie.ORACLE
