@@ -49,7 +49,7 @@ def main() -> None:
     for table in BY_NAME:
         ws.clinical(table)
     times["stage_tables"] = round(time.time() - start, 3)
-    for stage in ("cohort_table", "samples", "vocab", "sequences"):
+    for stage in ("cohort_table", "samples", "timeline", "vocab", "past", "sequences"):
         start = time.time()
         getattr(ws, stage)
         times[f"stage_{stage}"] = round(time.time() - start, 3)

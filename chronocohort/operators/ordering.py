@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronocohort.session import durable
+
 
 def running_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: Column, name: str) -> DataFrame:
     """Exact 1-based position of each row within its key.
@@ -48,6 +50,83 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], chu
     return joined.drop("_k", "_chunk", *[f"_b_{n}" for n in sums])
 
 
+_RUNNING = {"sum": F.sum, "max": F.max, "last": lambda v: F.last(v, ignorenulls=True)}
+
+
+def _total(how: str, value: str, along: Sequence[str]) -> Column:
+    """A chunk's contribution to what comes after it."""
+    if how != "last":
+        return _RUNNING[how](value)
+    return F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*along)))
+
+
+def _joined(how: str, *parts: Column) -> Column:
+    """One fold out of consecutive parts, the earliest first; a part may be NULL."""
+    if how == "sum":
+        return reduce(lambda a, b: F.coalesce(a + b, a, b), parts)
+    return F.greatest(*parts) if how == "max" else F.coalesce(*reversed(parts))
+
+
+def carried(df: DataFrame, keys: Sequence[str], levels: tuple[Column, Column], order: Sequence[str], folds: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Inclusive running ``folds`` (output name -> (sum, max or last non-NULL, value column)) along ``order`` within ``keys``.
+
+    ``levels`` are a fine and a coarse chunk, neither NULL nor decreasing along the order, the fine one inside the coarse one.  Rows are ordered only
+    within a fine chunk; totals of fine chunks are ordered only within a coarse one; the totals of a key's coarse chunks are one array.  So
+    no task orders all rows of a key, and none holds all its fine chunks.  The number of coarse chunks of a key must be bounded by what they mean (years).
+    """
+    work = df.withColumns({"_c0": levels[0], "_c1": levels[1]})
+    fine = work.groupBy(*keys, "_c0", "_c1").agg(*[_total(how, v, order).alias(f"_t_{n}") for n, (how, v) in folds.items()])
+    earlier = Window.partitionBy(*keys, "_c1").orderBy("_c0").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = fine.groupBy(*keys, "_c1").agg(*[_total(how, f"_t_{n}", ["_c0"]).alias(f"_t_{n}") for n, (how, _) in folds.items()])
+    whole = coarse.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_c1", *[f"_t_{n}" for n in folds]))).alias("_all"))
+    offsets = fine.withColumns({f"_e_{n}": _RUNNING[how](f"_t_{n}").over(earlier) for n, (how, _) in folds.items()}).join(whole, list(keys))
+    offsets = offsets.withColumn("_past", F.filter("_all", lambda x: x["_c1"] < F.col("_c1")))
+    before = []
+    for n, (how, _) in folds.items():
+        past = F.filter(F.transform("_past", lambda x: x[f"_t_{n}"]), lambda x: x.isNotNull())  # noqa: B023
+        if how == "sum":
+            past = F.when(F.size(past) > 0, F.aggregate(past, past[0] - past[0], lambda a, x: a + x))
+        else:
+            past = F.array_max(past) if how == "max" else F.get(past, F.size(past) - 1)
+        before.append(_joined(how, past, F.col(f"_e_{n}")).alias(f"_b_{n}"))
+    within = Window.partitionBy(*keys, "_c0").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = work.join(offsets.select(*keys, "_c0", *before), [*keys, "_c0"])
+    out = out.withColumns({n: _joined(how, F.col(f"_b_{n}"), _RUNNING[how](v).over(within)) for n, (how, v) in folds.items()})
+    return out.select(*df.columns, *folds)
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, folds: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """``left`` with ``folds`` over all rows of ``right`` whose ``right_at`` lies strictly before ``left_at``.
+
+    Folds are sum, max, or the last value; of values with one time the largest counts as the last.  Rows of one time are merged first; days are the fine
+    chunks and years the coarse ones, and the last mark of each is carried into the next (see ``carried``).
+    """
+    merge = {"sum": F.sum, "max": F.max, "last": F.max}
+    marks = right.groupBy(*keys, F.col(right_at).alias("_at")).agg(*[merge[how](v).alias(f"_v_{n}") for n, (how, v) in folds.items()]).withColumn("_kind", F.lit(1))
+    asked = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0).alias("_kind")).distinct()
+    both = marks.unionByName(asked, allowMissingColumns=True).where("_at IS NOT NULL")
+    found = carried(both, keys, (F.to_date("_at"), F.year("_at")), ["_at", "_kind"], {n: (how, f"_v_{n}") for n, (how, _) in folds.items()})
+    found = found.where("_kind = 0").select(*keys, F.col("_at").alias(left_at), *folds)
+    return left.join(found, [*keys, left_at], "left")
+
+
+def dense_ranks(distinct: DataFrame, column: str, name: str) -> DataFrame:
+    """0-based rank of each value of ``column``, whose values differ, over all of them.
+
+    Ranges of values at sampled bounds are written to the shared folder, each with the number of its partition; the counts of all ranges, one number for each,
+    give the offsets.  No task orders more than a range, however alike the values begin.
+    """
+    spark = distinct.sparkSession
+    cut = durable(distinct.select(column).repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    at, offsets = 0, []
+    for r in cut.groupBy("_range").count().orderBy("_range").collect():
+        offsets.append((r["_range"], at))
+        at += r["count"]
+    before = F.broadcast(spark.createDataFrame(offsets, "_range int, _before long"))  # one row for each partition
+    within = Window.partitionBy("_range").orderBy(column)
+    return cut.join(before, "_range").select(column, (F.col("_before") + F.row_number().over(within) - 1).alias(name))
+
+
 def magnitude_chunk(value: Column, digits: int = 4) -> Column:
     """Order-preserving chunk of a number: its decade and leading ``digits`` digits, as one long; infinities have their own.
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronocohort.functions import scalars as S
-from chronocohort.operators.ordering import running_index
+from chronocohort.operators.ordering import as_of, carried, running_index
 from chronocohort.session import durable
 
 SAMPLE = ["subject_id", "cycle_number"]
 MAX_SEQ_LEN = 600
+#: Visits of a patient that are read together.
+VISIT_BLOCK = 64
 ARRAYS = ["concept_ids", "type_ids", "visit_ids", "position_ids", "dates"]
 
 
@@ -52,46 +56,42 @@ def visit_summary(events: DataFrame) -> DataFrame:
     """Per patient and visit: events and their times, and running over the visits in order: latest time, events and visits so far."""
     per = events.groupBy("subject_id", "visit_id").agg(
         F.count("*").alias("n"), F.min("event_time").alias("lo"), F.max("event_time").alias("hi")).withColumn("rank", visit_rank())
-    upto = Window.partitionBy("subject_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return (per.withColumn("latest", F.max("hi").over(upto)).withColumn("n_upto", F.sum("n").over(upto))
-            .withColumn("visits_upto", F.sum(F.when(F.col("visit_id") != 0, 1).otherwise(0)).over(upto)))
-
-
-def _as_of(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, order: list[str], take: list[str]) -> DataFrame:
-    """``left`` with ``take`` of the last row of ``right``, by ``right_at`` and ``order``, that lies strictly before ``left_at``."""
-    at = F.struct(*[F.col(c) for c in take])
-    marks = right.select(*keys, F.col(right_at).alias("_at"), F.lit(1).alias("_kind"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], at.alias("_m"), F.lit(None).alias("_l"))
-    asked = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0).alias("_kind"), *[F.lit(None).alias(f"_o{i}") for i in range(len(order))],
-                        F.lit(None).alias("_m"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"))
-    along = Window.partitionBy(*keys).orderBy("_at", "_kind", *[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.unionByName(asked).withColumn("_m", F.last("_m", ignorenulls=True).over(along)).where("_kind = 0")
-    return found.select("_l.*", *[F.col(f"_m.{c}").alias(c) for c in take])
+    per = per.withColumn("_one", F.when(F.col("visit_id") != 0, 1).otherwise(0))
+    levels = (F.shiftright("rank", 12), F.shiftright("rank", 24))  # at most 128 coarse chunks, as ranks are ints
+    return carried(per, ["subject_id"], levels, ["rank"], {"latest": ("max", "hi"), "n_upto": ("sum", "n"), "visits_upto": ("sum", "_one")}).drop("_one")
 
 
 def history(samples: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What lies strictly before each index time, without a row for each event.
 
     Visits are ordered, and up to some visit all of them end before the index: those count from a running sum, found as of the
-    index time.  Of the later visits only those that begin before the index matter; their events before it are the first ones of the visit.
-    How many follows from hourly counts and from the single events of the index hour alone.
+    index time.  Of the later visits only those up to the last that begins before the index matter, and they are read as a range, in blocks of VISIT_BLOCK;
+    their events before the index are the first ones of the visit.  How many follows from hourly counts and from the single events of the index hour alone.
 
     Returns the samples with ``n_whole``, ``visits_whole`` (that run of whole visits), and one row per sample and later visit with
     ``first`` (place of the visit's first event) and ``n_before``.
     """
     key = sample_key(samples)
+    patient = ["subject_id"]
     summary = durable(visit_summary(events).withColumn("first", F.col("n_upto") - F.col("n") + 1))
     index = samples.select(*key, "prediction_time")
-    whole = _as_of(index, summary, ["subject_id"], "prediction_time", "latest", ["rank"], ["rank", "n_upto", "visits_upto"]).select(
-        *key, "prediction_time", F.col("rank").alias("last_whole"), F.coalesce("n_upto", F.lit(0)).alias("n_whole"), F.coalesce("visits_upto", F.lit(0)).alias("visits_whole"))
-    whole = durable(whole)
-    later = whole.join(summary.select("subject_id", "visit_id", "rank", "first", "n", "lo", "hi"), "subject_id").where(
-        (F.col("lo") < F.col("prediction_time")) & (F.col("rank") > F.coalesce("last_whole", F.lit(-1)))).drop("n_whole", "visits_whole", "last_whole")
-    later = durable(later.withColumn("hour", F.date_trunc("HOUR", "prediction_time")))
+    whole = as_of(index, summary, patient, "prediction_time", "latest", {"_m": ("last", F.struct("rank", "n_upto", "visits_upto"))})
+    begun = summary.where("visit_id <> 0").select("subject_id", "lo", "rank")
+    whole = as_of(whole, begun, patient, "prediction_time", "lo", {"last_begun": ("max", F.col("rank"))})
+    whole = durable(whole.select(*key, "prediction_time", F.col("_m.rank").alias("last_whole"), "last_begun", F.coalesce("_m.n_upto", F.lit(0)).alias("n_whole"),
+                                 F.coalesce("_m.visits_upto", F.lit(0)).alias("visits_whole")))
+    facts = ["visit_id", "rank", "first", "n", "lo", "hi"]
+    span = whole.select(*key, "prediction_time", (F.coalesce("last_whole", F.lit(-1)).cast("long") + 1).alias("_from"), F.col("last_begun").cast("long").alias("_to"))
+    inside = span.where("_from <= _to").withColumn("_block", F.explode(F.sequence(F.expr(f"_from div {VISIT_BLOCK}"), F.expr(f"_to div {VISIT_BLOCK}"))))
+    numbered = summary.where("visit_id <> 0").select("subject_id", *facts, F.expr(f"rank div {VISIT_BLOCK}").alias("_block"))
+    later = inside.join(numbered, ["subject_id", "_block"]).where("rank between _from and _to and lo < prediction_time").drop("_block")
+    outside = span.join(summary.where("visit_id = 0").select("subject_id", *facts), "subject_id").where("rank >= _from and lo < prediction_time")
+    later = durable(later.unionByName(outside).drop("_from", "_to").withColumn("hour", F.date_trunc("HOUR", "prediction_time").cast("timestamp_ntz")))
     ended = F.col("hi") < F.col("prediction_time")
     done, straddling = later.where(ended), later.where(~ended)
-    hours = events.groupBy("subject_id", "visit_id", F.date_trunc("HOUR", "event_time").alias("event_hour")).agg(F.max("place").alias("last_place"))
-    counted = _as_of(straddling, hours, ["subject_id", "visit_id"], "hour", "event_hour", [], ["last_place"])
-    in_hour = (events.withColumn("hour", F.date_trunc("HOUR", "event_time")).join(straddling.select(*key, "visit_id", "hour", "prediction_time"), ["subject_id", "visit_id", "hour"])
+    hours = events.groupBy("subject_id", "visit_id", F.date_trunc("HOUR", "event_time").cast("timestamp_ntz").alias("event_hour")).agg(F.max("place").alias("last_place"))
+    counted = as_of(straddling, hours, ["subject_id", "visit_id"], "hour", "event_hour", {"last_place": ("max", F.col("last_place"))})
+    in_hour = (events.withColumn("hour", F.date_trunc("HOUR", "event_time").cast("timestamp_ntz")).join(straddling.select(*key, "visit_id", "hour", "prediction_time"), ["subject_id", "visit_id", "hour"])
                .where("event_time < prediction_time").groupBy(*key, "visit_id").agg(F.count("*").alias("n_in_hour")))
     counted = counted.join(in_hour, [*key, "visit_id"], "left")
     columns = [*key, "visit_id", "rank", "first"]
@@ -100,6 +100,22 @@ def history(samples: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame
     return whole, durable(visits)
 
 
+@dataclass(frozen=True)
+class Past:
+    """What all sequences of one sample set share, stored: the samples, their patients' events in order, and what lies before each index."""
+
+    samples: DataFrame
+    events: DataFrame
+    whole: DataFrame
+    visits: DataFrame
+
+
+def past(samples: DataFrame, encoded: DataFrame) -> Past:
+    samples = unique_samples(samples)
+    events = durable(placed(encoded))
+    return Past(samples, events, *history(samples, events))
+
+
 def newest_rows(whole: DataFrame, visits: DataFrame, events: DataFrame, keep: int) -> DataFrame:
     """The newest ``keep`` events before each index time: sample key and event columns.
 
@@ -152,17 +168,19 @@ def _with_insertions(rows: Column, gaps: bool, delimiters: bool) -> Column:
 
 def sequences(samples: DataFrame, encoded: DataFrame, max_seq_len: int = MAX_SEQ_LEN, gaps: bool = False,
               delimiters: bool = False) -> DataFrame:
+    return sequences_of(past(samples, encoded), max_seq_len, gaps, delimiters)
+
+
+def sequences_of(known: Past, max_seq_len: int = MAX_SEQ_LEN, gaps: bool = False, delimiters: bool = False) -> DataFrame:
     """Token arrays per sample: [CLS], then the newest max_seq_len - 1 tokens of all earlier events.
 
     Insertions only add tokens, so the kept tokens lie within the newest max_seq_len - 1 events; one more event is
     read for the visit change at the cut.  Counts come from sums, and of the events only those newest are joined, so a
-    sample brings at most max_seq_len rows, however long the history.  The placed events are stored, because the ranges and the counts read them.
+    sample brings at most max_seq_len rows, however long the history.
     """
     keep = max_seq_len - 1
+    samples, events, whole, visits = known.samples, known.events, known.whole, known.visits
     key = sample_key(samples)
-    samples = unique_samples(samples)
-    events = durable(placed(encoded))
-    whole, visits = history(samples, events)
     tail = newest_rows(whole, visits, events, keep + 1).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(
         F.col("place"), F.col("concept_id").alias("c"), F.col("type_id").alias("t"),
         F.col("visit_id").alias("v"), S.days_since_epoch(F.col("event_time")).alias("d")))).alias("rows"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronocohort.functions import scalars as S
-from chronocohort.operators.ordering import exact_quantiles, prefix_sums, running_index, union_all
+from chronocohort.operators.ordering import dense_ranks, exact_quantiles, running_index, union_all
 from chronocohort.session import durable
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -60,8 +60,9 @@ def medication_rows(prescriptions: DataFrame, visit_rows: DataFrame) -> DataFram
     rows = (prescriptions.where("starttime IS NOT NULL").join(_stay(visit_rows), "hadm_id")
             .withColumn("drug_norm", F.trim(F.lower(F.coalesce("drug", F.lit("nan"))))))
     number = F.coalesce("pharmacy_id", F.lit(-1))
-    # rows without a number are ordered by name alone, so names cut them
-    chunk = F.struct(F.floor(number / 4096).alias("n"), F.when(number == -1, F.substring("drug_norm", 1, 3)).otherwise("").alias("d"))
+    # rows without a number are ordered by name alone, so names cut them; rows of one name may be exchanged, so a hash of the dose cuts those
+    same = F.pmod(F.xxhash64("dose_val_rx"), F.lit(64))
+    chunk = F.struct(F.floor(number / 4096).alias("n"), F.when(number == -1, F.col("drug_norm")).otherwise("").alias("d"), F.when(number == -1, same).otherwise(0).alias("s"))
     ranked = running_index(rows, ["subject_id", "hadm_id", "starttime"], [number, F.col("drug_norm")], chunk, "_rank")
     return ranked.withColumn("event_priority", (F.col("_rank") - 1).cast("int")).drop("_rank")
 
@@ -122,15 +123,11 @@ def timeline(tables, subjects: DataFrame | None = None, options: TimelineOptions
 
 
 def vocabulary(events: DataFrame) -> DataFrame:
-    """token -> id: reserved tokens first, then the distinct tokens in binary order, dense from 0.
-
-    The ids come from prefix sums over the first 18 characters, which are six behind the longest type, so no task orders all tokens.
-    """
+    """token -> id: reserved tokens first, then the distinct tokens in binary order, dense from 0."""
     spark = events.sparkSession
     reserved = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(S.RESERVED)) + " AS r(token, id)")
     found = events.select(F.col("concept_token").alias("token")).where("token IS NOT NULL").distinct().where(~F.col("token").isin(S.RESERVED))
-    numbered = prefix_sums(found.withColumn("one", F.lit(1)), [], [F.col("token")], F.substring("token", 1, 18), {"n": "one"})
-    return reserved.unionByName(numbered.select("token", (F.col("n") + len(S.RESERVED) - 1).cast("int").alias("id")))
+    return reserved.unionByName(dense_ranks(found, "token", "n").select("token", (F.col("n") + len(S.RESERVED)).cast("int").alias("id")))
 
 
 def encode(events: DataFrame, vocab: DataFrame) -> DataFrame:

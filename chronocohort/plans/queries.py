@@ -305,8 +305,7 @@ def join_day_expand(ws):
 @query
 def join_cumulative_window(ws):
     """Events before each index time per sample and visit: whole visits from their summary, others from hourly counts."""
-    events = durable(Q.placed(ws.encoded))
-    whole, visits = Q.history(ws.sample_keys, events)
+    events, whole, visits = ws.past.events, ws.past.whole, ws.past.visits
     per = Q.visit_summary(events).select("subject_id", "visit_id", "rank", "n", "hi")
     early = whole.join(per, "subject_id").where("rank <= last_whole").select(
         *Q.SAMPLE, "visit_id", F.col("n").alias("n_before"), F.col("hi").alias("last_before"), F.lit(1).alias("whole"))
@@ -580,7 +579,7 @@ def sort_export(ws):
 
 @query
 def sort_timeline(ws):
-    rows = ws.timeline()
+    rows = ws.timeline
     chunk = F.struct(Q.visit_rank().alias("v"), F.date_trunc("HOUR", "event_time").alias("h"))
     ranked = running_index(rows, ["subject_id"], Q.order_within_patient(), chunk, "place")
     return ranked.select("subject_id", "visit_id", "event_time", "event_type", "event_priority", "concept_token", "place")
@@ -624,7 +623,7 @@ def set_union_all(ws):
 
 @query
 def set_concat_events(ws):
-    return ws.timeline().groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("subject_id").alias("n_patients"),
+    return ws.timeline.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("subject_id").alias("n_patients"),
                                                    F.count_distinct("concept_token").alias("n_tokens"))
 
 
@@ -635,7 +634,7 @@ def set_distinct(ws):
 
 @query
 def set_difference(ws):
-    known = ws.timeline().select(F.col("concept_token").alias("token")).distinct()
+    known = ws.timeline.select(F.col("concept_token").alias("token")).distinct()
     return known.join(ws.vocab.where(F.col("id") < len(S.RESERVED)), "token", "left_anti")
 
 
@@ -843,12 +842,12 @@ def cohort_1yr_master(ws):
 
 @query
 def seq_events(ws):
-    return ws.timeline()
+    return ws.build_timeline()
 
 
 @query
 def seq_vocab(ws):
-    return TL.vocabulary(ws.timeline())
+    return TL.vocabulary(ws.timeline)
 
 
 @query
@@ -885,7 +884,7 @@ def seq_window_by_class(ws):
 
 @query
 def seq_visit_delims_by_class(ws):
-    return _sequence_text(Q.sequences(ws.class_samples, ws.class_encoded, 600, gaps=True, delimiters=True))
+    return _sequence_text(Q.sequences_of(ws.class_past, 600, gaps=True, delimiters=True))
 
 
 @query
@@ -912,7 +911,7 @@ def seq_pad_mask(ws):
 
 
 def _bucketed(ws, kind, **options):
-    rows = ws.timeline(TL.TimelineOptions(**options)).where(F.col("event_type") == kind)
+    rows = ws.build_timeline(TL.TimelineOptions(**options)).where(F.col("event_type") == kind)
     return rows.groupBy("concept_token").agg(F.count("*").alias("n"), F.count_distinct("subject_id").alias("n_patients"))
 
 

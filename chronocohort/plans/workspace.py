@@ -79,20 +79,31 @@ class Workspace(Clinic):
     def sample_keys(self) -> DataFrame:
         return self.samples.select("subject_id", "cycle_number", "prediction_time", "binary_label", "age_id")
 
-    @lru_cache(maxsize=None)
-    def timeline(self, options: TL.TimelineOptions = TL.TimelineOptions()) -> DataFrame:
+    def build_timeline(self, options: TL.TimelineOptions = TL.TimelineOptions()) -> DataFrame:
         return TL.timeline(self, self.samples, options)
 
+    @property
+    def timeline(self) -> DataFrame:
+        """Stage 2 input: the samples' patients' events, which vocabulary and sequences share."""
+        return self.stage("timeline", self.build_timeline)
+
     @property
     def vocab(self) -> DataFrame:
-        return self.stage("vocab", lambda: TL.vocabulary(self.timeline()))
+        return self.stage("vocab", lambda: TL.vocabulary(self.timeline))
 
     @property
     def encoded(self) -> DataFrame:
-        return TL.encode(self.timeline(), self.vocab)
+        return TL.encode(self.timeline, self.vocab)
+
+    @property
+    def past(self) -> Q.Past:
+        """Ordered events and histories: the same for plain sequences, gaps, delimiters and any length."""
+        if "past" not in self.stages:
+            self.stages["past"] = Q.past(self.sample_keys, self.encoded)
+        return self.stages["past"]
 
     def build_sequences(self, **options) -> DataFrame:
-        return Q.sequences(self.sample_keys, self.encoded, options.pop("max_seq_len", SEQ_LEN), **options)
+        return Q.sequences_of(self.past, options.pop("max_seq_len", SEQ_LEN), **options)
 
     @property
     def sequences(self) -> DataFrame:
@@ -110,13 +121,16 @@ class Workspace(Clinic):
         return self.stage("class_samples", lambda: table)
 
     @property
-    def class_encoded(self) -> DataFrame:
-        events = TL.timeline(self, self.class_samples)
-        return TL.encode(events, self.stage("class_vocab", lambda: TL.vocabulary(events)))
+    def class_past(self) -> Q.Past:
+        if "class_past" not in self.stages:
+            events = self.stage("class_timeline", lambda: TL.timeline(self, self.class_samples))
+            vocab = self.stage("class_vocab", lambda: TL.vocabulary(events))
+            self.stages["class_past"] = Q.past(self.class_samples, TL.encode(events, vocab))
+        return self.stages["class_past"]
 
     @property
     def class_sequences(self) -> DataFrame:
-        return self.stage("class_sequences", lambda: Q.sequences(self.class_samples, self.class_encoded, SEQ_LEN))
+        return self.stage("class_sequences", lambda: Q.sequences_of(self.class_past, SEQ_LEN))
 
     @cached_property
     def splits(self) -> DataFrame:

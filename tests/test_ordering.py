@@ -1,12 +1,15 @@
 """Skew-safe operators against brute force, with one key holding more than a third of the rows."""
 
 import random
+from datetime import timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from small import DAY0
+
 from chronocohort.operators import evaluate as E
-from chronocohort.operators.ordering import exact_quantiles, magnitude_chunk, prefix_sums, running_index
+from chronocohort.operators.ordering import as_of, carried, exact_quantiles, magnitude_chunk, prefix_sums, running_index
 from chronocohort.operators.split import check_split, split_patients
 from chronocohort.operators.timeline import join_fitted
 
@@ -115,3 +118,29 @@ def test_split_is_exclusive_stratified_and_stable(spark):
     assert counts[(1, "test")] == 8 and counts[(0, "test")] == 22 and counts[(1, "val")] == round(42 * 0.15 / 0.85)
     assert counts[(2, "test")] == 1  # a stratum of one goes to test
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, split_patients(samples.repartition(7), 42).collect()))
+
+
+def test_carried_folds_match_a_plain_loop(spark):
+    rng = random.Random(5)
+    data = [(k, p, rng.choice([None, rng.randint(0, 9)])) for k, n in (("hot", 400), ("b", 30), ("c", 1)) for p in rng.sample(range(2000), n)]
+    df = spark.createDataFrame(data, "k string, p int, v int")
+    folds = {"s": ("sum", "v"), "m": ("max", "v"), "l": ("last", "v")}
+    got = {(r.k, r.p): (r.s, r.m, r.l) for r in carried(df, ["k"], (F.shiftright("p", 4), F.shiftright("p", 8)), ["p"], folds).collect()}
+    for k in ("hot", "b", "c"):
+        seen = []
+        for p, v in sorted((p, v) for kk, p, v in data if kk == k):
+            seen += [] if v is None else [v]
+            assert got[k, p] == ((sum(seen), max(seen), seen[-1]) if seen else (None, None, None))
+
+
+def test_as_of_takes_what_lies_strictly_before(spark):
+    rng = random.Random(6)
+    at = lambda: DAY0 + timedelta(days=rng.choice([0, 1, 40, 400, 4000]) * rng.random())
+    marks = [(rng.choice([1, 1, 2]), at(), rng.randint(0, 99)) for _ in range(300)] + [(1, DAY0, 5), (1, DAY0, 7)]
+    asked = [(rng.choice([1, 2, 3]), at(), i) for i in range(100)] + [(1, DAY0, 100), (1, marks[0][1], 101), (1, None, 102)]
+    left = spark.createDataFrame(asked, "k int, t timestamp_ntz, i int")
+    right = spark.createDataFrame(marks, "k int, u timestamp_ntz, v int")
+    got = {r.i: (r.n, r.top, r.last) for r in as_of(left, right, ["k"], "t", "u", {"n": ("sum", F.lit(1)), "top": ("max", F.col("v")), "last": ("last", F.col("v"))}).collect()}
+    for k, t, i in asked:
+        before = sorted((u, v) for kk, u, v in marks if kk == k and t is not None and u < t)
+        assert got[i] == ((len(before), max(v for _, v in before), before[-1][1]) if before else (None, None, None)), i

@@ -150,3 +150,35 @@ def test_token_labels(spark):
     df = spark.createDataFrame([(t,) for t in ("[CLS]", "lab::50912_Q1", "lab::1", "diagnosis::I500_ICDver10", "medication::" + "x" * 30, "other::v")], "t string")
     assert [tuple(r) for r in df.select(S.token_label(F.col("t")), S.token_type(F.col("t"))).collect()] == [
         ("[CLS]", "special"), ("lab:Creatinine", "lab"), ("lab:1", "lab"), ("dx:I500", "diagnosis"), ("rx:" + "x" * 22, "medication"), ("other::v", "special")]
+
+
+def test_a_hot_patient_with_long_overlapping_visits(spark):
+    """One patient has a third of all visits and many samples; visits overlap, some end years later, some events have no visit."""
+    rng = random.Random(3)
+    events = []
+    for sid, n in [(1, 150), *[(s, 10) for s in range(2, 32)]]:
+        for visit in range(1, n + 1):
+            begin = visit * 9 + rng.random() * 5
+            for i in range(rng.randint(1, 4)):
+                events.append(event(sid, at(begin + rng.choice([0, 0.01, 1, 20, 900]) * rng.random()), visit, f"t{i}{visit}", rng.choice(["lab", "diagnosis"]), rng.randint(21, 60)))
+        events += [event(sid, at(rng.random() * 1500), 0, f"z{i}") for i in range(5)]
+    samples = [(sid, c, at(rng.random() * 1500), 0) for sid in range(1, 33) for c in range(1, 41 if sid == 1 else 3)]
+    got = Q.sequences(spark.createDataFrame(samples, SAMPLES), spark.createDataFrame(events, EVENTS), 40, True, True).collect()
+    expected = brute(events, samples, 40, True, True)
+    assert len(got) == len(samples)
+    for r in got:
+        assert (r["concept_ids"], r["raw_seq_len"]) == expected[r["subject_id"], r["cycle_number"]]
+
+
+def test_no_window_orders_a_whole_patient(spark, capsys):
+    """Windows over events and visits are cut by chunk as well as by patient."""
+    events = spark.createDataFrame([event(1, at(1), 1, "a")], EVENTS)
+    Q.visit_summary(Q.placed(events)).explain("extended")
+    windows = [line for line in capsys.readouterr().out.split("== Physical Plan ==")[1].splitlines() if "Window [" in line]
+    assert windows and all("_c" in w.rsplit("], [", 1)[0] for w in windows)
+
+
+def test_vocabulary_of_tokens_that_begin_alike(spark):
+    tokens = spark.range(5000).select(F.format_string("medication::the same long beginning %07d", F.col("id")).alias("concept_token"))
+    vocab = TL.vocabulary(tokens.unionByName(tokens).repartition(7)).where("id > 20")
+    assert [r["id"] for r in vocab.orderBy("token").collect()] == list(range(21, 5021))
