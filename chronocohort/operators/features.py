@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from chronocohort.functions import scalars as S
 from chronocohort.functions.drugs import MAIN_CLASSES
+from chronocohort.operators import boosting
 from chronocohort.operators.ordering import exact_quantiles, union_all
 from chronocohort.operators.sequence import sample_key
-from chronocohort.session import durable
 
 CLINICAL = [f"exposed_{c}" for c in MAIN_CLASSES] + [
     "has_pre_existing_hf_or_cmp", "baseline_lvef", "cycle_number", "toxicity_window_days",
@@ -75,71 +75,67 @@ def class_weights(samples: DataFrame) -> DataFrame:
                        F.round(n / F.nullif(p, F.lit(0)), 6).alias("weight_positive"))
 
 
-VARIANTS = ("clinical", "bow", "combined")
-#: Token columns a model may have; beyond that the rarest tokens share none.  The list of tokens is part of the model.
-MAX_TOKENS = 1 << 18
+VARIANTS = {"clinical": (0, len(CLINICAL)), "bow": (len(CLINICAL), boosting.WIDTH), "combined": (0, boosting.WIDTH)}
 
 
-def _vector_columns(rows: DataFrame, variant: str, seqs: DataFrame | None, train: DataFrame) -> DataFrame:
-    """``rows`` with ``features``; token columns are those of the training samples, a column for each token."""
-    from pyspark.ml.feature import CountVectorizer, VectorAssembler
+def clinical_cuts(train: DataFrame) -> list[list[float]]:
+    """Bounds of the bins of each clinical feature: all its values if there are fewer than BINS, else as many percentiles."""
+    most = boosting.BINS - 1
+    counts = train.agg(*[F.approx_count_distinct(f"f_{c}", 0.01).alias(c) for c in CLINICAL]).first()
+    shares = [i / most for i in range(most)] + [1.0]
 
+    def bounds(c: str) -> Column:
+        few = counts[c] < most * 0.9  # the count is within a few per cent
+        return F.array_sort(F.collect_set(f"f_{c}")) if few else F.array_sort(F.array_distinct(F.percentile_approx(f"f_{c}", shares, 100_000)))
+
+    row = train.agg(*[bounds(c).alias(c) for c in CLINICAL]).first()  # at most BINS numbers for each feature
+    return [list(row[c] or [])[: most - 1] for c in CLINICAL]
+
+
+def token_bin(n: Column) -> Column:
+    """Counts to 16 as they are, larger ones by powers of two."""
+    return F.when(n <= 16, n).otherwise(F.least(F.lit(boosting.BINS - 1), 16 + F.floor(F.log2(n / 16.0)))).cast("int")
+
+
+def model_rows(rows: DataFrame, splits: DataFrame, seqs: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """One row per sample for ``boosting``: its clinical features and its tokens, each with its bin; what is missing has no entry."""
     key = sample_key(rows)
-    inputs = []
-    if variant in ("clinical", "combined"):
-        inputs += [f"f_{c}" for c in CLINICAL]
-    if variant in ("bow", "combined"):
-        words = seqs.select(*key, F.transform(F.filter("concept_ids", lambda x: x >= len(S.RESERVED)), lambda x: x.cast("string")).alias("words"))
-        rows = rows.join(words, key)
-        known = rows.join(train, "subject_id", "left_semi").where(F.size("words") > 0)
-        if not known.isEmpty():
-            rows = CountVectorizer(inputCol="words", outputCol="f_words", vocabSize=MAX_TOKENS).fit(known).transform(rows)
-            inputs.append("f_words")
-    if not inputs:
-        rows, inputs = rows.withColumn("f_none", F.lit(0.0)), ["f_none"]
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(rows)
-
-
-def best_round(losses: Sequence[float], patience: int) -> int:
-    """Rounds to keep: up to the smallest loss, not looking further than ``patience`` rounds without a new smallest."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def boosted_trees(rows: DataFrame, splits: DataFrame, seqs: DataFrame | None = None, variant: str = "clinical", seed: int = 42,
-                  rounds: int = 500, patience: int = 30, depth: int = 4, step: float = 0.05, least: int = 1, columns: str = "all") -> DataFrame:
-    """Gradient-boosted trees with class weights.  All rounds are fitted on the training patients, every prefix of the trees is scored on
-    the validation patients, and the test patients are scored by the best prefix.  ``n_trees`` tells its length."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
-
-    parts = splits.select("subject_id", "split")
-    train = parts.where("split = 'train'").select("subject_id")
-    data = durable(_vector_columns(rows, variant, seqs, train).join(parts, "subject_id").select(
-        *sample_key(rows), "split", F.col("binary_label").cast("double").alias("label"), "features"))
-    fitted, held = data.where("split = 'train'"), data.where("split = 'val'")
-    rate = fitted.agg(F.avg("label")).first()[0] or 0.5
-    weight = F.when(F.col("label") == 1, F.lit((1 - rate) / rate)).otherwise(1.0)
-    fitted, held = fitted.withColumn("w", weight), held.withColumn("w", weight)
-    trees = GBTClassifier(weightCol="w", maxDepth=depth, stepSize=step, subsamplingRate=0.8, minInstancesPerNode=least, featureSubsetStrategy=columns, seed=seed)
-    model = trees.setMaxIter(rounds).fit(fitted)
-    keep = best_round(model.evaluateEachIteration(held), patience) if not held.isEmpty() else rounds
-    if keep < rounds:
-        model = trees.setMaxIter(keep).fit(fitted)  # the same seed gives the same first trees
-    return model.transform(data.where("split = 'test'")).select(
-        *sample_key(rows), "split", F.col("label").cast("int").alias("true_label"), vector_to_array("probability")[1].alias("prob_cardiotoxic"), F.lit(keep).alias("n_trees"))
-
-
-def tree_runs(rows: DataFrame, splits: DataFrame, seqs: DataFrame, variants: Sequence[str] = VARIANTS, seeds: Sequence[int] = (42,), **options) -> DataFrame:
-    """The scored test patients of every variant and seed; clinical features are scaled on the training patients."""
-    train = rows.join(splits.where("split = 'train'").select("subject_id"), "subject_id", "left_semi")
-    scaled = durable(scale(rows, train))
-    return union_all([boosted_trees(scaled, splits, seqs, v, s, **options).withColumn("variant", F.lit(v)).withColumn("seed", F.lit(s)) for v in variants for s in seeds])
+    cell = "struct<f:int,b:int>"
+
+    def binned(i: int, c: str) -> Column:
+        value = F.col(f"f_{c}")
+        place = F.size(F.filter(F.array(*[F.lit(float(x)) for x in cuts[i]]).cast("array<double>"), lambda x: x < value))
+        return F.when(value.isNotNull(), F.struct(F.lit(i).alias("f"), place.alias("b")).cast(cell))
+
+    clinical_cells = F.filter(F.array(*[binned(i, c) for i, c in enumerate(CLINICAL)]), lambda x: x.isNotNull())
+    words = bag_of_words(seqs).groupBy(*key).agg(F.collect_list(F.struct((F.col("token_id") + len(CLINICAL)).cast("int").alias("f"), token_bin(F.col("n")).alias("b")).cast(cell)).alias("words"))
+    none = F.array().cast(f"array<{cell}>")
+    out = rows.select(*key, "binary_label", clinical_cells.alias("facts")).join(words, key, "left").join(splits.select("subject_id", F.col("split").alias("part")), "subject_id")
+    cells = F.array_sort(F.concat("facts", F.coalesce("words", none)))  # sorted, so that rows do not depend on the order tokens arrive in
+    out = out.withColumn("cells", cells)
+    return out.select(*key, F.xxhash64(*key).alias("row_id"), "part", F.col("binary_label").cast("int").alias("label"),
+                      F.transform("cells", lambda x: x["f"]).alias("features"), F.transform("cells", lambda x: x["b"]).alias("bins"))
+
+
+def fit_trees(data: DataFrame, variants: Sequence[str] = tuple(VARIANTS), seeds: Sequence[int] = (42,), settings: boosting.Settings = boosting.Settings()) -> list[boosting.Model]:
+    """A model for each variant and seed, cut at its best round; all are grown side by side."""
+    return boosting.kept(boosting.fit(data, [boosting.Model(v, s, *VARIANTS[v]) for v in variants for s in seeds], settings))
+
+
+def tree_runs(data: DataFrame, models: list[boosting.Model]) -> DataFrame:
+    """The test samples scored by every model."""
+    key = sample_key(data)
+    scored = boosting.score(data.where("part = 'test'"), models, [*key, "part", "label"])
+    return scored.withColumnsRenamed({"part": "split", "label": "true_label"})
+
+
+def rescore(original: DataFrame, edits: Mapping[str, DataFrame], models: list[boosting.Model]) -> DataFrame:
+    """Score of every sample by every model before and after each edit of its features, and the difference."""
+    key = sample_key(original)
+    by = [*key, "variant", "seed"]
+    before = boosting.score(original, models, key).select(*by, F.col("prob_cardiotoxic").alias("prob_orig"))
+    after = union_all([boosting.score(df, models, key).select(*by, F.lit(name).alias("edit"), F.col("prob_cardiotoxic").alias("prob_perturb")) for name, df in edits.items()])
+    return after.join(before, by).withColumn("delta_prob", F.col("prob_perturb") - F.col("prob_orig"))
 
 
 def pca_project(vectors: DataFrame, ids: Sequence[str], vector_column: str, k: int = 2) -> DataFrame:

@@ -11,6 +11,7 @@ from chronocohort.functions import codes as C
 from chronocohort.functions import drugs as D
 from chronocohort.functions import scalars as S
 from chronocohort.operators import attribution as A
+from chronocohort.operators import boosting
 from chronocohort.operators import evaluate as E
 from chronocohort.operators import exposure as X
 from chronocohort.operators import features as FE
@@ -1003,9 +1004,28 @@ def feat_class_weight(ws):
 
 @query
 def model_gbt(ws):
-    """Three feature variants and two seeds; what is fixed of the result: samples, split, true label, and that scores are probabilities."""
-    scored = FE.tree_runs(_clinical(ws, ws.splits.where("split = 'train'")), ws.splits, ws.sequences, FE.VARIANTS, seeds=(42, 43), rounds=8, patience=3)
-    return scored.select(*Q.SAMPLE, "split", "variant", "seed", "true_label", F.col("prob_cardiotoxic").between(0, 1).alias("is_probability"))
+    """The test samples scored by three feature variants and two seeds (settings TREES); the statement holds samples, split, labels and the
+    number of features that each variant sees of a sample."""
+    known = ws.tree_data.select(*Q.SAMPLE, "features")
+    sees = [F.when(F.col("variant") == v, F.size(F.filter("features", lambda x: (x >= a) & (x < b)))) for v, (a, b) in FE.VARIANTS.items()]  # noqa: B023
+    scored = FE.tree_runs(ws.tree_data, ws.trees).join(known, Q.SAMPLE)
+    return scored.where("prob_cardiotoxic between 0 and 1").select(*Q.SAMPLE, "split", "variant", "seed", "true_label", F.coalesce(*sees).alias("n_features"))
+
+
+@query
+def model_gbt_split(ws):
+    """The first split of each feature variant with all rows and features: the figures that boosting starts from."""
+    settings = boosting.Settings(rounds=1, depth=1, rows=1.0, columns=1.0)
+    train = ws.splits.where("split = 'train'")
+    cuts = FE.clinical_cuts(_clinical(ws).join(train, "subject_id", "left_semi"))
+    data = durable(FE.model_rows(_clinical(ws), ws.splits, ws.sequences, cuts))
+    models = [boosting.Model(v, 0, a, b) for v, (a, b) in FE.VARIANTS.items()]
+    n = len(FE.CLINICAL)
+    rows = []  # one for each variant
+    for r in boosting.first_splits(data, models, settings):
+        f, b = r["feature"], r["bin"]
+        rows.append((models[r["model"]].name, FE.CLINICAL[f] if f < n else f"token_{f - n}", float(cuts[f][b] if f < n else b), r["missing_left"], round(r["gain"], 6), r["left_g"], r["left_h"]))
+    return ws.spark.createDataFrame(rows, "variant string, feature string, at_most double, missing_left boolean, gain double, left_g long, left_h long")
 
 
 @query
@@ -1067,6 +1087,20 @@ def eval_history_band(ws):
     return rounded(E.history_band(ws.history, "variant", "loss"), "mean", "low", "high")
 
 
+@query
+def eval_seed_summary_trees(ws):
+    """Run metrics of the fitted trees on the test samples, summed up over seeds."""
+    return rounded(E.seed_summary(E.run_metrics(FE.tree_runs(ws.tree_data, ws.trees), ["variant", "seed"]), "variant"), "mean", "std", "min", "max")
+
+
+@query
+def eval_delta_prob_trees(ws):
+    """Every sample scored by the stored trees again after edits of its sequence."""
+    edits = {"zero_labs": Q.perturb_zero(ws.sequences, ws.vocab, "lab::"), "zero_last_visit": Q.perturb_visit(ws.sequences, -1),
+             "replace_aspirin": Q.perturb_replace(ws.sequences, ws.vocab, "medication::aspirin", "medication::imatinib")}
+    return rounded(FE.rescore(ws.tree_data, {n: ws.tree_rows(df) for n, df in edits.items()}, ws.trees), "prob_orig", "prob_perturb", "delta_prob")
+
+
 @query
 def eval_delta_prob(ws):
     return rounded(E.delta_probability(ws.scored, ws.edited_scores, ["row_idx"]), "prob_orig", "prob_perturb", "delta_prob")

@@ -7,6 +7,8 @@ from functools import cached_property, lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronocohort.operators import boosting
+from chronocohort.operators import features as FE
 from chronocohort.operators import sequence as Q
 from chronocohort.operators import timeline as TL
 from chronocohort.operators.labels import binary_table
@@ -17,6 +19,8 @@ from chronocohort.session import durable
 from chronocohort.sources.adapters import Clinic
 
 SEQ_LEN = 600
+#: Of the registered tree runs: larger steps and less patience than the operator's defaults (500 rounds, patience 30, step 0.05).
+TREES = boosting.Settings(rounds=60, patience=8, step=0.3)
 
 
 class Workspace(Clinic):
@@ -136,6 +140,28 @@ class Workspace(Clinic):
     def splits(self) -> DataFrame:
         return split_patients(self.samples, 42)
 
+    @cached_property
+    def tree_cuts(self) -> list[list[float]]:
+        train = self.splits.where("split = 'train'").select("subject_id")
+        return FE.clinical_cuts(self.tree_clinical.join(train, "subject_id", "left_semi"))
+
+    @property
+    def tree_clinical(self) -> DataFrame:
+        """Clinical features; a missing baseline takes the median of the training patients."""
+        return self.stage("tree_clinical", lambda: FE.clinical(self.sample_keys, self.cohort_table, self.baselines, self.splits.where("split = 'train'")))
+
+    def tree_rows(self, seqs: DataFrame) -> DataFrame:
+        return FE.model_rows(self.tree_clinical, self.splits, seqs, self.tree_cuts)
+
+    @property
+    def tree_data(self) -> DataFrame:
+        return self.stage("tree_data", lambda: self.tree_rows(self.sequences))
+
+    @property
+    def trees(self) -> list[boosting.Model]:
+        """The fitted tree models, stored as a stage; scoring and rescoring read them from there."""
+        return boosting.from_table(self.stage("trees", lambda: boosting.as_table(self.spark, FE.fit_trees(self.tree_data, seeds=(42, 43), settings=TREES))))
+
     @cached_property
     def baselines(self) -> DataFrame:
         return echo_baselines(self.cohort("uniform_365").anchor, self.echo)[0]

@@ -397,9 +397,33 @@ SQL: dict[str, str] = {
             WHEN epoch(first_event_time - prediction_time) / 86400.0 > 0 AND epoch(first_event_time - prediction_time) / 86400.0 <= h.window_days THEN 1 ELSE 0 END AS binary_label,
         concept_ids, seq_len FROM smp JOIN sq_text USING (subject_id, cycle_number),
         (SELECT CAST(unnest([0, 1, 2]) AS INT) AS task_id, CAST(unnest([90, 180, 365]) AS INT) AS window_days) h""",
-    "model_gbt": """SELECT s.subject_id, s.cycle_number, p.split, v.variant, d.seed, s.binary_label AS true_label, TRUE AS is_probability
-        FROM smp s JOIN sp p ON p.subject_id = s.subject_id AND p.split = 'test',
+    "model_gbt": f"""WITH f AS ({CLINICAL}), c AS (SELECT subject_id, cycle_number, {' + '.join(f'(f_{f} IS NOT NULL)::INT' for f in FEATURES)} AS n FROM f),
+        t AS (SELECT subject_id, cycle_number, count(DISTINCT cid) AS n FROM sq_rows WHERE cid >= 21 GROUP BY ALL)
+        SELECT s.subject_id, s.cycle_number, p.split, v.variant, d.seed, s.binary_label AS true_label,
+        CAST(CASE v.variant WHEN 'clinical' THEN c.n WHEN 'bow' THEN coalesce(t.n, 0) ELSE c.n + coalesce(t.n, 0) END AS INT) AS n_features
+        FROM smp s JOIN sp p ON p.subject_id = s.subject_id AND p.split = 'test' JOIN c ON c.subject_id = s.subject_id AND c.cycle_number = s.cycle_number
+        LEFT JOIN t ON t.subject_id = s.subject_id AND t.cycle_number = s.cycle_number,
         (SELECT unnest(['clinical', 'bow', 'combined']) AS variant) v, (SELECT CAST(unnest([42, 43]) AS INT) AS seed) d""",
+    "model_gbt_split": f"""WITH f AS ({CLINICAL}),
+        tr AS (SELECT subject_id, cycle_number, binary_label AS y FROM smp WHERE subject_id IN (SELECT subject_id FROM sp WHERE split = 'train')),
+        pw AS (SELECT (count(*) - sum(y))::DOUBLE / sum(y) AS w FROM tr),
+        r AS (SELECT subject_id, cycle_number, CAST(round_even((0.5::DOUBLE - y) * CASE y WHEN 1 THEN w ELSE 1.0::DOUBLE END * 16777216.0::DOUBLE, 0) AS BIGINT) AS g,
+            CAST(round_even(0.25::DOUBLE * CASE y WHEN 1 THEN w ELSE 1.0::DOUBLE END * 16777216.0::DOUBLE, 0) AS BIGINT) AS h FROM tr, pw),
+        whole AS (SELECT CAST(sum(g) AS BIGINT) AS tg, CAST(sum(h) AS BIGINT) AS th FROM r),
+        cells AS (SELECT subject_id, cycle_number, unnest(range(0, {len(FEATURES)})) AS fid, unnest([{', '.join(f"'{f}'" for f in FEATURES)}]) AS feature,
+            unnest([{', '.join(f'f_{f}' for f in FEATURES)}]) AS value FROM f
+            UNION ALL SELECT subject_id, cycle_number, cid + {len(FEATURES)}, 'token_' || cid, CASE WHEN count(*) <= 16 THEN count(*) ELSE 16 + floor(log2(count(*) / 16.0)) END::DOUBLE
+            FROM sq_rows WHERE cid >= 21 GROUP BY subject_id, cycle_number, cid),
+        hist AS (SELECT fid, feature, value, sum(g) AS g, sum(h) AS h FROM cells JOIN r USING (subject_id, cycle_number) WHERE value IS NOT NULL GROUP BY ALL),
+        cum AS (SELECT *, sum(g) OVER w AS cg, sum(h) OVER w AS ch, sum(g) OVER (PARTITION BY fid) AS fg, sum(h) OVER (PARTITION BY fid) AS fh FROM hist WINDOW w AS (PARTITION BY fid ORDER BY value)),
+        sides AS (SELECT fid, feature, value, m AS missing_left, CAST(cg + CASE WHEN m THEN tg - fg ELSE 0 END AS BIGINT) AS lg,
+            CAST(ch + CASE WHEN m THEN th - fh ELSE 0 END AS BIGINT) AS lh, tg, th FROM cum, whole, (SELECT unnest([FALSE, TRUE]) AS m)),
+        sized AS (SELECT *, lg / 16777216.0::DOUBLE AS a, (tg - lg) / 16777216.0::DOUBLE AS b, tg / 16777216.0::DOUBLE AS c FROM sides WHERE lh >= 5 * 16777216 AND th - lh >= 5 * 16777216),
+        cut AS (SELECT *, {', '.join(f"CASE WHEN {x} > 0.1::DOUBLE THEN {x} - 0.1::DOUBLE WHEN {x} < -0.1::DOUBLE THEN {x} + 0.1::DOUBLE ELSE 0 END AS {x}{x}" for x in 'abc')} FROM sized),
+        gains AS (SELECT *, aa * aa / (lh / 16777216.0::DOUBLE + 1) + bb * bb / ((th - lh) / 16777216.0::DOUBLE + 1) - cc * cc / (th / 16777216.0::DOUBLE + 1) AS gain FROM cut),
+        top AS (SELECT v.variant, gains.*, row_number() OVER (PARTITION BY v.variant ORDER BY gain DESC, fid, value, missing_left DESC) AS k
+            FROM gains JOIN (SELECT unnest(['clinical', 'bow', 'combined']) AS variant) v ON CASE v.variant WHEN 'clinical' THEN fid < {len(FEATURES)} WHEN 'bow' THEN fid >= {len(FEATURES)} ELSE TRUE END)
+        SELECT variant, feature, value::DOUBLE AS at_most, missing_left, round(gain, 6) AS gain, lg AS left_g, lh AS left_h FROM top WHERE k = 1 AND gain > 1e-9""",
     "pca_project": """WITH RECURSIVE e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
         m AS (SELECT i, avg(x) AS m FROM e GROUP BY i), c AS (SELECT vec_id, e.i, x - m AS x FROM e JOIN m ON m.i = e.i),
         g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / ((SELECT count(*) FROM embeddings) - 1) AS s FROM c a JOIN c b ON b.vec_id = a.vec_id GROUP BY a.i, b.i),

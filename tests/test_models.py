@@ -1,36 +1,12 @@
 """Trees, planes and token attributions."""
 
-import random
-
 import numpy as np
 from small import rows
 
 from chronocohort.operators import attribution as A
-from chronocohort.operators import evaluate as E
 from chronocohort.operators import features as FE
 
 
-def test_best_round_waits_for_a_better_one():
-    assert FE.best_round([5, 4, 3, 3.5, 2, 2.5, 2.6, 1], patience=3) == 8
-    assert FE.best_round([5, 4, 3, 3.5, 3.6, 3.7, 1], patience=3) == 3
-    assert FE.best_round([5], patience=2) == 1
-
-
-def test_boosting_goes_on_while_validation_improves(spark):
-    rng = random.Random(1)
-    data, splits = [], []
-    for i in range(900):
-        x = [rng.random() for _ in FE.CLINICAL]
-        y = int(rng.random() < 1 / (1 + np.exp(-6 * (x[0] + x[1] * x[2] - 0.8))))
-        data.append((i, 1, y, *x))
-        splits.append((i, ("train", "train", "train", "val", "test")[i % 5]))
-    table = spark.createDataFrame(data, "subject_id long, cycle_number int, binary_label int, " + ", ".join(f"f_{c} double" for c in FE.CLINICAL))
-    parts = spark.createDataFrame(splits, "subject_id long, split string")
-    scored = FE.boosted_trees(table, parts, rounds=12, patience=4, step=0.1, depth=2).cache()
-    assert scored.first()["n_trees"] >= 5 and scored.count() == 180
-    assert E.auroc(scored).first()["auroc"] > 0.75
-
-
 def test_joint_plane_keeps_sets_and_ids(spark):
     rng = np.random.default_rng(0)
     points = rng.normal(size=(60, 4)) * [5, 3, 1, 0.5]

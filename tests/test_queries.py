@@ -17,7 +17,8 @@ def con():
 def test_every_statement_has_a_query():
     assert set(ORACLE) <= set(entry.queries())
     unsaid = set(entry.queries()) - set(ORACLE)
-    assert all(k == "pipeline" or k.startswith("op") for k in unsaid)  # tested against brute force in tests/llm
+    # operators of the pipeline are tested against brute force in tests/llm, scores of fitted trees in test_boosting
+    assert all(k == "pipeline" or k.startswith("op") or k.endswith("_trees") for k in unsaid)
 
 
 @pytest.mark.parametrize("key", sorted(ORACLE))
