@@ -6,8 +6,10 @@ bytes.  Quantiles are distributed: rows of all nodes are summed into bins of the
 until the key is exact or the bin holds less than ``slack`` of a shard.  Only these bounded tables reach the driver.
 
 A split key is the quantised dimension followed by a hash of the row, so that rows with equal metadata, however many, split as well.
-Categories are numbered by hash, sizes by logarithm.  A null counts as its own value.  Rows that are equal in doc_id, size, checksum and
-metadata are parted by a row number, so that copies, too, can be spread.  An empty table gives an empty result; other columns take no part.
+A category lies where the more frequent ones end, as a share of all rows; sizes are taken by logarithm.  A node's width along a dimension is its share of the
+whole table's, so that no dimension is widest by its unit.  A null counts as its own value.  Only rows that are equal in doc_id, text and metadata are told apart by a
+running number, so that copies, too, can be spread; which of them has which number makes no difference, so shards and slots follow from the rows alone,
+in whatever files and order they lie.  Very long texts are hashed and leave the job at once.  An empty table gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronocohort.operators.ordering import magnitude_chunk, prefix_sums, running_index
 from chronocohort.session import durable
 
 DIM_BITS, HASH_BITS = 16, 46
@@ -28,17 +31,27 @@ def _scaled(value: Column) -> Column:
     return F.coalesce(F.least(F.lit((1 << DIM_BITS) - 1), F.floor(F.log2(F.greatest(value, F.lit(0)) + 1) * 1024).cast("long") + 1), F.lit(0))
 
 
-def _category(value: Column) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(value.cast("string"), F.lit("\0null"))), F.lit(1 << DIM_BITS))
+def _placed(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` replaced by the place of its value on a scale of 16 bits: the share of rows that hold a more frequent value (ties: a smaller one)."""
+    counts = durable(df.groupBy(column).agg(F.count("*").alias("n")))
+    upto = prefix_sums(counts, [], [F.desc("n"), F.col(column)], -magnitude_chunk(F.col("n")), {"upto": "n"})
+    whole = F.broadcast(counts.agg(F.sum("n").alias("whole")))  # one row
+    place = F.floor((F.col("upto") - F.col("n")) / F.col("whole") * ((1 << DIM_BITS) - 1)).cast("long")
+    return df.join(upto.crossJoin(whole).select(column, place.alias("_place")), column).drop(column).withColumnRenamed("_place", column)
 
 
 def rows(docs: DataFrame) -> DataFrame:
     """(doc_id, size, text_crc32, dims, tie), stored: what the tree needs, without texts."""
     size = F.coalesce(F.octet_length(F.col("text")), F.lit(0)).cast("long") + OVERHEAD
-    out = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32(F.encode(F.col("text"), "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-                      F.array(_category(F.col("lang")), _category(F.col("source")), _scaled(F.col("n_chars")), _scaled(size)).alias("dims"))
-    tie = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.monotonically_increasing_id()), F.lit(1 << HASH_BITS))
-    return durable(out.withColumn("tie", tie))
+    null = F.lit("\0null")
+    out = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32(F.encode(F.col("text"), "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64("text").alias("digest"),
+                      F.coalesce(F.col("lang").cast("string"), null).alias("lang"), F.coalesce(F.col("source").cast("string"), null).alias("source"), _scaled(F.col("n_chars")).alias("chars"), F.col("n_chars"))
+    same = F.md5(F.to_json(F.struct("doc_id", "size", "text_crc32", "digest", "lang", "source", "n_chars")))
+    out = durable(out.withColumn("same", same).withColumn("at", F.monotonically_increasing_id()))
+    out = running_index(out, ["same"], [F.col("at")], F.shiftright("at", 33), "copy")  # a chunk for each partition that was read
+    out = _placed(_placed(out, "lang"), "source")
+    tie = F.pmod(F.xxhash64("same", "copy"), F.lit(1 << HASH_BITS))
+    return durable(out.select("doc_id", "size", "text_crc32", F.array("lang", "source", "chars", _scaled(F.col("size"))).alias("dims"), tie.alias("tie")))
 
 
 def _key(dim: Column) -> Column:
@@ -89,14 +102,16 @@ def assign(table: DataFrame, shards: int, slack_share: float = 0.0005) -> DataFr
     df = table.withColumn("node", F.lit(0))
     leaves = {0: shards}
     whole = table.agg(F.sum("size")).first()[0] or 0
+    root: list[int] = []
     while max(leaves.values()) > 1:
         open_ = [v for v, n in leaves.items() if n > 1]
         spread = F.struct(*[F.struct(F.min(F.element_at("dims", i + 1)).alias("lo"), F.max(F.element_at("dims", i + 1)).alias("hi")).alias(f"d{i}") for i in range(4)])
         stats = {r["node"]: r for r in df.where(F.col("node").isin(open_)).groupBy("node").agg(F.sum("size").alias("bytes"), spread.alias("s")).collect()}  # a row for each node
+        root = root or [stats[0]["s"][i]["hi"] - stats[0]["s"][i]["lo"] for i in range(4) if 0 in stats]
         want = {}
         for v in open_:
             if v in stats:
-                widths = [(stats[v]["s"][i]["hi"] - stats[v]["s"][i]["lo"], -i) for i in range(4)]
+                widths = [((stats[v]["s"][i]["hi"] - stats[v]["s"][i]["lo"]) / max(1, root[i]), -i) for i in range(4)]
                 d = -max(widths)[1]
                 lo, hi = stats[v]["s"][d]["lo"] << HASH_BITS, ((stats[v]["s"][d]["hi"] + 1) << HASH_BITS) - 1
                 want[v] = (d, lo, hi, stats[v]["bytes"] * (leaves[v] // 2) // leaves[v])
