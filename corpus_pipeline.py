@@ -58,7 +58,6 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents as often as the mix takes them; of the one at which a source reaches its target, a last copy is cut after the words that
     still fit, joined by a blank, and its n_chars are counted anew."""
     tune(spark)
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # numbering rows of a key and joining them share one shuffle
     taken = mixing.mix(mixing.sizes(docs), SEED).where("copies > 0 or part > 0")
     same = ["k", "s", "size"]  # rows alike in these may be taken for each other
     s = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("s")
