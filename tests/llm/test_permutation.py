@@ -48,11 +48,46 @@ def test_few_candidates_and_none(spark):
     assert run(spark, vectors(1, 2)) == {} and run(spark, []) == {}
 
 
-def test_recall_with_a_shallow_rerank_and_many_parts(spark, monkeypatch):
+def recall(got, want):
+    return np.mean([len({j for _, j in got[q]} & {j for _, j in want[q]}) / len(want[q]) for q in want])
+
+
+def test_recall_with_a_shallow_rerank_and_short_pieces(spark, monkeypatch):
     monkeypatch.setattr(P, "LEAST_DEPTH", 100)
-    monkeypatch.setattr(P, "PART", 1500)
-    monkeypatch.setattr(P, "BLOCK", 40)
+    monkeypatch.setattr(P, "PIECE", 30)
+    monkeypatch.setattr(P, "BLOCK", 7)
     rows = vectors(4000, 3, 32)
     got, want = run(spark, rows, 40), brute(rows, 40, 5)
-    hits = [len({j for _, j in got[q]} & {j for _, j in want[q]}) / 5 for q in want]
-    assert len(hits) == 100 and np.mean(hits) >= 0.9
+    assert len(want) == 100 and recall(got, want) >= 0.9
+    assert all(len(c) == 5 for c in got.values())
+
+
+def test_a_third_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(P, "PIECE", 200)
+    rng = np.random.default_rng(5)
+    rows = vectors(2000, 4, 16)
+    rows += [(5000 + i, [float(x) for x in (np.array(rows[3][1]) + rng.normal(size=16) * 1e-3).astype(np.float32)], 0, None) for i in range(1000)]
+    got, want = run(spark, rows, 50), brute(rows, 50, 5)
+    assert recall(got, want) >= 0.9 and all(len(c) == 5 for c in got.values())
+
+
+def test_an_entry_is_met_once_and_by_exact_score(spark):
+    rows = vectors(1500, 6, 8)
+    table = P.valid(spark.createDataFrame(rows, SCHEMA))
+    found = P.search(table, table.where("vec_id % 100 = 0"), 5).collect()
+    assert len({(r.query_id, r.vec_id) for r in found}) == len(found) == 75
+    by_id = {i: np.array(v, np.float32).astype(float) for i, v, *_ in rows}
+    for r in found:
+        a, b = by_id[r.query_id], by_id[r.vec_id]
+        assert abs(r.score - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
+
+
+def test_files_read_grow_slower_than_the_table():
+    rng = np.random.default_rng(7)
+    read = []
+    for n in (4000, 16000):
+        x = rng.normal(size=(n, 16))
+        pivots = P._flat(x[: max(P.LEAST_PIVOTS, int(P.SPREAD * n**0.5))])
+        lengths = np.bincount(P.orders(x, pivots, P.POSTED).ravel(), minlength=len(pivots))
+        read.append(lengths[P.orders(x[:50], pivots, P.READ)].sum(axis=1).mean())
+    assert read[1] < 2.6 * read[0]
