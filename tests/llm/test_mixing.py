@@ -7,9 +7,9 @@ from chronocohort.llm import mixing as M
 
 
 def brute(rows, weights=(5, 2, 1)):
-    sized = [(i, s, len((t or "").encode().split())) for i, t, s, *_ in rows]
-    names = sorted({s for _, s, _ in sized}, key=lambda s: (s is None, s or ""))
-    total = {s: sum(n for _, x, n in sized if x == s) for s in names}
+    sized = [(i, s, len((t or "").encode().split()), hashlib.md5((t or "").encode()).hexdigest()) for i, t, s, *_ in rows]
+    names = sorted({s for _, s, *_ in sized}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, x, n, _ in sized if x == s) for s in names}
     weight = {s: weights[k % 3] for k, s in enumerate(names)}
     full, target = set(), {}
     while True:
@@ -25,9 +25,9 @@ def brute(rows, weights=(5, 2, 1)):
         want = int(target[s] + 0.5)
         whole = want // total[s] if total[s] else 0
         budget = want - whole * total[s]
-        def u(i):
-            return (int(hashlib.md5(f"0:{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
-        for i, n in sorted(((i, n) for i, x, n in sized if x == s), key=lambda d: (u(d[0]), d[0] is not None, d[0] or 0, d[1])):
+        def u(i, m):
+            return (int(hashlib.md5(f"0:{'' if i is None else i}:{m}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        for i, n, m in sorted(((i, n, m) for i, x, n, m in sized if x == s), key=lambda d: (u(d[0], d[2]), d[0] is not None, d[0] or 0, d[2])):
             extra = max(0, min(n, budget))
             budget -= extra
             out.append((i, s, n, total[s], target[s], whole * n + extra))
@@ -54,6 +54,17 @@ def test_against_brute_force(spark, n):
         assert g[:4] == w[:4] and g[5] == w[5] and g[4] == pytest.approx(w[4])
 
 
+def test_rows_without_doc_id_and_rows_alike(spark, monkeypatch):
+    """A third of all rows has no doc_id and one text, a third no doc_id; pieces of rows alike are short."""
+    monkeypatch.setattr(M, "PIECE", 7)
+    monkeypatch.setattr(M, "BINS", 1)
+    rng = random.Random(8)
+    rows = [(None, "one two three", "a", 0) for _ in range(100)] + [(None, " ".join(["w"] * rng.randint(0, 30)), rng.choice("ab"), 0) for _ in range(100)] + [(i, "x " * (i % 40), rng.choice("abc"), 0) for i in range(100)]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], r[2], r[3])
+    got = sorted(((r.doc_id, r.source, r.size, r.taken) for r in run(spark, rows)), key=order)
+    assert got == sorted(((i, s, n, t) for i, s, n, _, _, t in brute(rows)), key=order)
+
+
 def test_sources_meet_their_targets_to_the_word(spark):
     got = run(spark, rows_of(700, 9))
     for s in {r.source for r in got}:
