@@ -10,12 +10,12 @@ Each window is represented by one symbol: of those it decides, one of the highes
 share theirs.  A window can only repeat if its symbol does, so Spark counts symbols (a few for each hundred words) and only windows whose
 symbol occurs twice are hashed in full, 96 bits, and looked up: all but the first occurrence of a window repeat it.  Words in repeating windows go.
 
-How rows move: documents belong to chunks by doc_id.  Tasks sum up what they have of a symbol or a window before they send it to the bucket of its
+How rows move: documents belong to chunks by a hash of doc_id and text, so rows without doc_id, or with one, do not meet; only rows alike in both do.  Tasks sum up what they have of a symbol or a window before they send it to the bucket of its
 hash, one record from each batch or chunk at most, and buckets answer chunks; so neither a passage that a third of all documents share nor a
 huge group of copies meets in one task.  Documents of equal words are told apart first; only the first of each is searched for windows.
 
-The order of occurrences is by doc_id (null last), then by words, then by place.  Rows with equal doc_id and words are one document and get the same
-result; rows that share a doc_id only are documents in the order of their words.  A null text has no words.  Documents shorter than a window stay whole.  Very long texts are parsed in
+The order of occurrences is by doc_id (null last), then by a hash of the words, then by place.  Rows with equal doc_id and words are one document and get the same
+result; rows that share a doc_id only are documents in the order of that hash.  A null text has no words.  Documents shorter than a window stay whole.  Very long texts are parsed in
 overlapping slices, which gives the same symbols, as windows decide them.  Empty tables give empty results; other columns take no part.
 """
 
@@ -41,6 +41,8 @@ LAST = np.iinfo(np.int64).max  # in place of a null doc_id
 
 KEY = np.dtype([("key", "<u8"), ("chunk", "<i4")])
 FIRST = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("chunk", "<i4")])
+#: A window as FIRST, with the hash of its document's words, which tells documents of one doc_id apart.
+SEEN = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("words", "<u8"), ("chunk", "<i4")])
 HASH = np.dtype([("a", "<u8"), ("b", "<u4")])
 COPY = np.dtype([("a", "<u8"), ("doc", "<i8")])
 #: Kinds of messages.  To buckets: symbols, documents, windows; to chunks: repeated symbols, later copies, repeated windows.
@@ -217,9 +219,15 @@ def _among(records: np.ndarray, held: np.ndarray) -> np.ndarray:
     return out
 
 
+def _order(records: np.ndarray) -> np.ndarray:
+    """By hash, then by document."""
+    within = [records["words"]] if "words" in records.dtype.names else []
+    return np.lexsort([*within, records["doc"], records["b"], records["a"]])
+
+
 def _firsts(records: np.ndarray) -> np.ndarray:
     """Whether a record is of the first document of its hash; of equal ones the first counts."""
-    order = np.lexsort((records["doc"], records["b"], records["a"]))
+    order = _order(records)
     r = records[order]
     new = np.r_[True, (r["a"][1:] != r["a"][:-1]) | (r["b"][1:] != r["b"][:-1])] if len(r) else np.zeros(0, bool)
     out = np.zeros(len(r), bool)
@@ -229,12 +237,27 @@ def _firsts(records: np.ndarray) -> np.ndarray:
 
 def _later(records: np.ndarray) -> np.ndarray:
     """Whether the hash of a record has one of a smaller document."""
-    order = np.lexsort((records["doc"], records["b"], records["a"]))
+    order = _order(records)
     r = records[order]
     new = np.r_[True, (r["a"][1:] != r["a"][:-1]) | (r["b"][1:] != r["b"][:-1])] if len(r) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0)) if len(r) else np.zeros(0, np.int64)
     out = np.zeros(len(r), bool)
-    out[order[r["doc"] > r["doc"][first]]] = True
+    later = r["doc"] > r["doc"][first]
+    if "words" in r.dtype.names:
+        later |= (r["doc"] == r["doc"][first]) & (r["words"] > r["words"][first])
+    out[order[later]] = True
+    return out
+
+
+def _own(records: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Whether a record is of the first document of its hash, and the first of that in its chunk."""
+    at = np.flatnonzero(~later)
+    r = records[at]
+    order = np.lexsort((r["chunk"], r["b"], r["a"]))
+    s = r[order]
+    new = np.logical_or.reduce([s[x][1:] != s[x][:-1] for x in ("a", "b", "chunk")]) if len(s) else np.zeros(0, bool)
+    out = np.zeros(len(records), bool)
+    out[at[order[np.r_[True, new] if len(s) else new]]] = True
     return out
 
 
@@ -258,7 +281,8 @@ def _announce(buckets: int):
         record = np.empty(len(documents), FIRST)
         record[["a", "b"]] = _digest(documents) if documents else np.empty(0, HASH)
         record["doc"], record["chunk"] = ids, chunks
-        first, later = _firsts(record), _later(record)
+        later = _later(record)
+        first = _own(record, later)
         rows = _dealt(DOCUMENTS, (record["a"][first] % np.uint64(buckets)).astype(np.int64), record[first])
         rows += _dealt(COPIES, chunks[later].astype(np.int64), record[later][["a", "doc"]].astype(COPY))
         documents, chunks = [documents[i] for i in np.flatnonzero(first)], chunks[first]
@@ -320,7 +344,7 @@ def _answer(group: pa.Table) -> pa.Table:
         told = _once(asked[np.repeat(often, times) & (asked["chunk"] >= 0)])
         rows = _dealt(REPEATED, told["chunk"].astype(np.int64), told["key"])
     elif kind in (DOCUMENTS, WINDOWS):
-        asked = np.frombuffer(data, FIRST)
+        asked = np.frombuffer(data, FIRST if kind == DOCUMENTS else SEEN)
         told = asked[_later(asked)]
         if kind == DOCUMENTS:
             rows = _dealt(COPIES, told["chunk"].astype(np.int64), told[["a", "doc"]].astype(COPY))
@@ -336,20 +360,21 @@ def _mail(table: pa.Table, kind: int, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(p.as_py() for k, p in zip(table["kind"].to_pylist(), table["payload"]) if k == kind), dtype)
 
 
-def _chunk(left: pa.Table) -> tuple[np.ndarray, list[list[bytes]], np.ndarray]:
-    """doc_ids and words of the documents of a chunk, in order and each once; and which of them each row is."""
+def _chunk(left: pa.Table) -> tuple[np.ndarray, np.ndarray, list[list[bytes]], np.ndarray]:
+    """doc_ids, hashes of the words and words of the documents of a chunk, in order and each once; and which of them each row is."""
     ids = _ids(left["doc_id"])
     texts = [x for part in left["text"].chunks for x in raw_texts(part)]
     keys = [(int(i), b" ".join(t.split())) for i, t in zip(ids, texts)]
-    order = sorted(set(keys))
+    hashed = {k: int.from_bytes(xxhash.xxh3_128_digest(k[1])[:8], "big") for k in set(keys)}  # as _digest gives it
+    order = sorted(hashed, key=lambda k: (k[0], hashed[k], k[1]))
     number = {k: i for i, k in enumerate(order)}
-    return np.array([k[0] for k in order], np.int64), [k[1].split() for k in order], np.array([number[k] for k in keys], np.int64)
+    return np.array([k[0] for k in order], np.int64), np.array([hashed[k] for k in order], np.uint64), [k[1].split() for k in order], np.array([number[k] for k in keys], np.int64)
 
 
-def _copies(ids: np.ndarray, documents: list[list[bytes]], table: pa.Table) -> np.ndarray:
+def _copies(ids: np.ndarray, hashed: np.ndarray, table: pa.Table) -> np.ndarray:
     """Which documents of a chunk are copies of earlier ones."""
     own = np.empty(len(ids), COPY)
-    own["a"], own["doc"] = _digest(documents)["a"], ids
+    own["a"], own["doc"] = hashed, ids
     return _among(own, _once(_mail(table, COPIES, COPY)))
 
 
@@ -360,9 +385,9 @@ def _look_up(buckets: int):
         rows: list[tuple[int, int, bytes]] = []
         if left.num_rows:
             chunk = left["chunk"][0].as_py()
-            ids, documents, _ = _chunk(left)
+            ids, hashed, documents, _ = _chunk(left)
             repeated = np.unique(_mail(right, REPEATED, "<u8"))
-            search = np.flatnonzero(~_copies(ids, documents, right))
+            search = np.flatnonzero(~_copies(ids, hashed, right))
             found = []
             for of, _, words in slices([documents[i] for i in search]):
                 at, key, _, twice = symbols(words)
@@ -371,9 +396,10 @@ def _look_up(buckets: int):
                 if len(repeated):
                     twice |= repeated[np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)] == key
                 at = at[twice]
-                record = np.empty(len(at), FIRST)
+                record = np.empty(len(at), SEEN)
                 record[["a", "b"]] = words.hashes(at)
-                record["doc"], record["chunk"] = ids[search[of[words.doc[at]]]], chunk
+                doc = search[of[words.doc[at]]]
+                record["doc"], record["words"], record["chunk"] = ids[doc], hashed[doc], chunk
                 found.append(record[_firsts(record)])
             if found:
                 record = np.concatenate(found)
@@ -388,8 +414,8 @@ def _strike(left: pa.Table, right: pa.Table) -> pa.Table:
     """A chunk's documents and the answers about its windows in, documents without repeating words out."""
     out = {"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.string())}
     if left.num_rows:
-        ids, documents, row = _chunk(left)
-        copies, later = _copies(ids, documents, right), _once(_mail(right, LATER, HASH))
+        ids, hashed, documents, row = _chunk(left)
+        copies, later = _copies(ids, hashed, right), _once(_mail(right, LATER, HASH))
         gone = [np.full(len(d), c and len(d) >= WINDOW) for d, c in zip(documents, copies.tolist())]
         search = np.flatnonzero(~copies)
         hashes, of_window, first_word = [], [], []
@@ -421,7 +447,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks, buckets = max(shuffle_width(spark), size // CHUNK_BYTES), max(shuffle_width(spark), size // BUCKET_BYTES)
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), F.col("text").cast("string").alias("text"))
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), F.col("text").cast("string").alias("text"))
     told = durable(placed.mapInArrow(_announce(buckets), MESSAGE).groupBy("kind", "dest").applyInArrow(_answer, MESSAGE))
     grouped = placed.groupBy("chunk")
 

@@ -2,16 +2,17 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from chronocohort.llm import recompression as R
 
 
 def brute(rows):
-    """Windows in the order of doc_id (null last), then of words; equal rows are one document."""
+    """Windows in the order of doc_id (null last), then of a hash of the words; equal rows are one document."""
     words = [(i, tuple((t or "").encode().split())) for i, t, *_ in rows]
     seen, result = set(), {}
-    for i, w in sorted(set(words), key=lambda d: (d[0] is None, d[0] or 0, b" ".join(d[1]))):
+    for i, w in sorted(set(words), key=lambda d: (d[0] is None, d[0] or 0, xxhash.xxh3_128_digest(b" ".join(d[1])))):
         gone = [False] * len(w)
         for k in range(len(w) - 19):
             if w[k : k + 20] in seen:
@@ -47,6 +48,12 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_a_third_of_all_rows_without_doc_id(spark):
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else i, t, c) for k, (i, t, c) in enumerate(corpus(6, 240))]
+    rows += [(None, f" {rows[0][1]}\n", None), (7, f"{rows[1][1]} ", None)]  # other white space, same words
+    assert run(spark, rows) == brute(rows)
+
+
 def test_long_texts_are_parsed_in_slices(spark, monkeypatch):
     rng = random.Random(4)
     passage = " ".join(f"p{k}" for k in range(120))
