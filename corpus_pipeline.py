@@ -59,12 +59,12 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     still fit, joined by a blank, and its n_chars are counted anew."""
     tune(spark)
     taken = mixing.mix(mixing.sizes(docs), SEED).where("copies > 0 or part > 0")
-    same = ["k", "s", "size"]  # rows alike in these may be taken for each other
+    same = ["k", "s", "mark"]  # rows alike in these have one text
     s = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("s")
     order = Window.partitionBy(*same)
-    taken = taken.select(_key().alias("k"), s, "size", "copies", "part").withColumn("i", F.row_number().over(order.orderBy(F.desc("copies"), F.desc("part"))))
-    rows = _packed(docs, k=_key(), s=s, size=mixing.size_of(), mark=F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    rows = rows.withColumn("i", F.row_number().over(order.orderBy("mark"))).select("row", *same, "i")
+    taken = taken.select(_key().alias("k"), s, "mark", "copies", "part").withColumn("i", F.row_number().over(order.orderBy(F.desc("copies"), F.desc("part"))))
+    rows = _packed(docs, k=_key(), s=s, mark=mixing.mark_of())
+    rows = rows.withColumn("i", F.row_number().over(order.orderBy("mark")))
     takes = F.concat(F.transform(F.sequence(F.lit(0), F.col("copies")), lambda x: F.lit(-1).cast("long")), F.array("part"))
     takes = F.filter(F.slice(takes, F.lit(2), F.size(takes)), lambda x: x != 0)
     out = rows.join(taken.select(*same, "i", takes.alias("takes")), [*same, "i"]).select("row", F.explode("takes").alias("words"))
