@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,26 +55,47 @@ def exists_in_interval(left: DataFrame, points: DataFrame, time: str, after: Col
                        keys: Sequence[str]) -> DataFrame:
     """0/1: has the patient any point in (after, until]?  Intervals span at least one day.
 
-    Points are first cut to two per day, which loses none that matters to an interval of a day or more.  One sorted pass per patient then
-    finds the next point after each index, and the interval holds a point exactly when it reaches that one.
+    Points are first cut to two per day, which loses none that matters to an interval of a day or more; then see ``interval_join``.
     """
     spans = left.select(*keys, after.alias("_a"), until.alias("_u"))
     days = daily_bounds(points, time).select("subject_id", F.explode(F.array("day_first", "day_last")).alias("_p"))
-    marks = days.select("subject_id", F.col("_p").alias("_t"), F.lit(1).alias("_kind"), "_p", F.lit(None).alias("_s"))
-    asked = spans.select("subject_id", F.col("_a").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).alias("_p"), F.struct(*keys, "_u").alias("_s"))
-    back = Window.partitionBy("subject_id").orderBy(F.desc("_t"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    following = marks.unionByName(asked).withColumn("_next", F.min("_p").over(back)).where("_kind = 0")
-    hit = following.where("_next <= _s._u").select("_s.*").select(*keys).distinct().withColumn(name, F.lit(1))
-    return left.join(hit, list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    hit = interval_join(spans, days, ["subject_id"], (F.to_date("_a"), F.to_date("_u")), F.to_date("_p"),
+                        (F.col("_p") > F.col("_a")) & (F.col("_p") <= F.col("_u")), "left_semi")
+    return left.join(hit.select(*keys).distinct().withColumn(name, F.lit(1)), list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+
+
+def interval_join(spans: DataFrame, points: DataFrame, keys: Sequence[str], span_days: tuple[Column, Column], point_day: Column,
+                  holds: Column, how: str = "inner") -> DataFrame:
+    """Each span with each point for which ``holds``, or with ``how="left_semi"`` each span that has such a point (maybe twice).
+
+    An index of dyadic time cells: the level of a span is the number of binary digits of its length in days, so it meets at most two cells of
+    2^level days; a point has one cell per level.  Rows meet by an equi join on (keys, level, cell) and ``holds``, the exact test, decides.
+    So a key's rows are dealt over its cells, no task orders or pairs the whole history of a key, and the candidates of a span lie within
+    four times its length.  Points are multiplied by the levels in use alone, a handful and never more than 32.
+
+    ``span_days`` are the first and the last date that may hold a point, ``point_day`` is the date of a point.  Spans with a NULL or a
+    last date before the first match nothing, nor do points without date or key.  Column names other than ``keys`` must differ.
+    """
+    first, last = (F.unix_date(d) for d in span_days)
+    celled = (spans.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+              .withColumn("_level", F.length(F.bin(F.col("_last") - F.col("_first"))))
+              .withColumn("_cell", F.explode(F.expr("sequence(shiftright(_first, _level), shiftright(_last, _level))"))))
+    levels = celled.agg(F.collect_set("_level")).scalar()
+    marked = (points.withColumnsRenamed({k: f"_p_{k}" for k in keys}).withColumn("_day", F.unix_date(point_day)).where("_day IS NOT NULL")
+              .withColumn("_levels", levels).withColumn("_p_level", F.explode("_levels"))
+              .withColumn("_p_cell", F.expr("shiftright(_day, _p_level)")).drop("_levels", "_day"))
+    met = reduce(lambda c, k: c & (F.col(k) == F.col(f"_p_{k}")), keys,
+                 (F.col("_level") == F.col("_p_level")) & (F.col("_cell") == F.col("_p_cell")))
+    return celled.join(marked, met & holds, how).drop("_first", "_last", "_level", "_cell", "_p_level", "_p_cell", *[f"_p_{k}" for k in keys])
 
 
 def exists_day_between(left: DataFrame, points: DataFrame, day: str, first: str, last: str, name: str,
                        keys: Sequence[str]) -> DataFrame:
     """0/1: has the patient a point on a day between two dates, both included?"""
     days = points.select("subject_id", F.col(day).alias("_d")).distinct()
-    hit = (left.select(*keys, F.col(first).alias("_f"), F.col(last).alias("_l")).join(days, "subject_id")
-           .where(F.col("_d").between(F.col("_f"), F.col("_l"))).select(*keys).distinct().withColumn(name, F.lit(1)))
-    return left.join(hit, list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+    spans = left.select(*keys, F.col(first).alias("_f"), F.col(last).alias("_l"))
+    hit = interval_join(spans, days, ["subject_id"], (F.col("_f"), F.col("_l")), F.col("_d"), F.col("_d").between(F.col("_f"), F.col("_l")), "left_semi")
+    return left.join(hit.select(*keys).distinct().withColumn(name, F.lit(1)), list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 
 
 def first_class_patients(spans: DataFrame, drug_class: str) -> DataFrame:
