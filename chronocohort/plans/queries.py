@@ -26,6 +26,7 @@ from chronocohort.operators.ordering import exact_quantiles, running_index, unio
 from chronocohort.plans.workspace import SEQ_LEN, Workspace, workspace
 from chronocohort.session import durable, output_path
 from chronocohort.sources import readers, schemas, sinks
+from chronocohort.streaming import cycles as stream
 
 REGISTRY: dict[str, Callable[[Workspace], DataFrame]] = {}
 
@@ -524,6 +525,17 @@ def win_sessionize(ws):
     return union_all(out)
 
 
+@query
+def win_sessionize_stream(ws):
+    """The cycles of ``agg_cycles_by_class`` from a file stream of drug starts: closed by the watermark, the rest and late keys in batch."""
+    cohort = ws.cohort("pan_cancer_ctrcd")
+    source, out, state = (output_path(ws.spark, f"stream-{part}") for part in ("source", "cycles", "state"))
+    cohort.starts.repartitionByRange("starttime").write.parquet(source)
+    starts = ws.spark.readStream.schema(cohort.starts.schema).parquet(source)
+    stream.append_cycles(starts, out, state)
+    return stream.whole_cycles(ws.spark.read.parquet(out), ws.spark.read.parquet(source), cohort.spec.windows)
+
+
 @query
 def win_first_event(ws):
     return ws.cohort("pan_cancer_ctrcd").facts.where("hf_event_time IS NOT NULL").select("subject_id", "hf_event_time", "hf_hadm_id", "hf_icd_codes")
