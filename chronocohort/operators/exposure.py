@@ -90,20 +90,29 @@ def _span() -> list[Column]:
             F.sum("n_prescription_rows_that_day").alias("n_prescription_rows_in_cycle")]
 
 
-def cycles_by_class(starts: DataFrame, windows: Mapping[str, tuple[int, str]], gap_days: int = GAP_DAYS) -> DataFrame:
-    """Cycles per patient and class.  The drug list joins the distinct *day lists*, as defined."""
+def cycles_of_days(days: DataFrame, gap_days: int = GAP_DAYS) -> DataFrame:
+    """Cycles per patient and class out of their exposure days.  The drug list joins the distinct *day lists*, as defined."""
     keys = ["subject_id", "drug_class"]
-    days = with_cycles(exposure_days(starts, keys), keys, gap_days).withColumn("day_list", text_set(F.col("drugs")))
+    days = with_cycles(days, keys, gap_days).withColumn("day_list", text_set(F.col("drugs")))
     # start_date is unique per key here, so counting rows counts distinct days
     spans = [c for c in _span()]
     spans[3] = F.count("*").alias("n_exposure_start_days_in_cycle")
-    cycles = days.groupBy(*keys, "cycle_number").agg(*spans, text_set(F.collect_set("day_list")).alias("drugs_in_cycle"))
-    return cycles.join(F.broadcast(window_table(starts.sparkSession, windows)), "drug_class", "left").select(
+    return days.groupBy(*keys, "cycle_number").agg(*spans, text_set(F.collect_set("day_list")).alias("drugs_in_cycle"))
+
+
+def with_windows(cycles: DataFrame, windows: Mapping[str, tuple[int, str]]) -> DataFrame:
+    """Cycles per patient and class with the toxicity window of the class."""
+    return cycles.join(F.broadcast(window_table(cycles.sparkSession, windows)), "drug_class", "left").select(
         "subject_id", "drug_class", "cycle_number", "prediction_time", "cycle_start_date", "cycle_end_date",
         "n_exposure_start_days_in_cycle", "n_prescription_rows_in_cycle", "drugs_in_cycle",
         "toxicity_window_days", "window_rationale")
 
 
+def cycles_by_class(starts: DataFrame, windows: Mapping[str, tuple[int, str]], gap_days: int = GAP_DAYS) -> DataFrame:
+    """Cycles per patient and class, with windows."""
+    return with_windows(cycles_of_days(exposure_days(starts, ["subject_id", "drug_class"]), gap_days), windows)
+
+
 def _class_lookup(windows: Mapping[str, tuple[int, str]], part: int) -> Column:
     return F.create_map(*[F.lit(x) for name, spec in windows.items() for x in (name, spec[part])])
 

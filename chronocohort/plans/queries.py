@@ -23,6 +23,7 @@ from chronocohort.operators import split as SP
 from chronocohort.operators import temporal as T
 from chronocohort.operators import timeline as TL
 from chronocohort.operators.ordering import exact_quantiles, running_index, union_all
+from chronocohort.plans import incremental
 from chronocohort.plans.workspace import SEQ_LEN, Workspace, workspace
 from chronocohort.session import durable, output_path
 from chronocohort.sources import readers, schemas, sinks
@@ -536,6 +537,18 @@ def win_sessionize_stream(ws):
     return stream.whole_cycles(ws.spark.read.parquet(out), ws.spark.read.parquet(source), cohort.spec.windows)
 
 
+@query
+def materialize_incremental(ws):
+    """The cycles of ``agg_cycles_by_class`` from a store that takes one half of the drug starts, then the other."""
+    cohort = ws.cohort("pan_cancer_ctrcd")
+    folder, half = output_path(ws.spark, "store"), F.pmod(F.xxhash64("subject_id", "starttime", "drug"), F.lit(2))
+    starts = durable(cohort.starts)
+    incremental.create(ws.spark, folder)
+    for n in range(2):
+        incremental.add(folder, f"half {n}", starts.where(half == n))
+    return incremental.cycles(ws.spark, folder, starts, cohort.spec.windows)
+
+
 @query
 def win_first_event(ws):
     return ws.cohort("pan_cancer_ctrcd").facts.where("hf_event_time IS NOT NULL").select("subject_id", "hf_event_time", "hf_hadm_id", "hf_icd_codes")

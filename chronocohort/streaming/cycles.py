@@ -7,8 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronocohort.functions.drugs import window_table
-from chronocohort.operators.exposure import GAP_DAYS, cycles_by_class, text_set
+from chronocohort.operators.exposure import GAP_DAYS, cycles_of_days, exposure_days, text_set, with_windows
 from chronocohort.operators.ordering import union_all
 
 KEYS = ["subject_id", "drug_class"]
@@ -75,8 +74,8 @@ def whole_cycles(closed: DataFrame, starts: DataFrame, windows: Mapping[str, tup
             .where((F.col("_seen") != F.col("_closed")) | (F.datediff("_next", "_end") <= gap_days)).select(*KEYS, F.lit(True).alias("_late")))
     left = dated.alias("s").join(late.alias("l"), same("s", "l"), "left").where("_end IS NULL OR _day > _end OR _late").select(*[f"s.{c}" for c in starts.columns])
     kept = closed.alias("c").join(late.alias("l"), same("c", "l"), "left_anti")
-    built = cycles_by_class(left, windows, gap_days)
+    built = cycles_of_days(exposure_days(left, KEYS), gap_days)
     facts = [c for c in closed.columns if c not in KEYS]
     both = union_all([kept.select(*KEYS, *facts), built.select(*KEYS, *facts)])
     numbered = both.withColumn("cycle_number", F.row_number().over(Window.partitionBy(*KEYS).orderBy("cycle_start_date")))
-    return numbered.join(F.broadcast(window_table(starts.sparkSession, windows)), "drug_class", "left").select(*built.columns)
+    return with_windows(numbered, windows)

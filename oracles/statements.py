@@ -227,6 +227,7 @@ SQL: dict[str, str] = {
     "win_sessionize": """SELECT subject_id, drug_class, d AS start_date, CASE WHEN coalesce(d - pd, 99) > 7 THEN 1 ELSE 0 END AS is_new_cycle, cycle_number FROM ctrcd_numbered
         UNION ALL SELECT subject_id, NULL, d, CASE WHEN coalesce(d - pd, 99) > 7 THEN 1 ELSE 0 END, cycle_number FROM pcr_numbered""",
     "win_sessionize_stream": "SELECT * FROM ctrcd_cycles",
+    "materialize_incremental": "SELECT * FROM ctrcd_cycles",
     "win_first_event": "SELECT * FROM ctrcd_incident",
     "win_first_of_union": "SELECT * FROM mva_first",
     "win_visit_number": "SELECT subject_id, hadm_id, admittime, row_number() OVER (PARTITION BY subject_id ORDER BY admittime, hadm_id) AS visit_id FROM adm",
