@@ -77,10 +77,10 @@ def interval_join(spans: DataFrame, points: DataFrame, keys: Sequence[str], span
     last date before the first match nothing, nor do points without date or key.  Column names other than ``keys`` must differ.
     """
     first, last = (F.unix_date(d) for d in span_days)
-    celled = (spans.withColumns({"_first": first, "_last": last}).where("_first <= _last")
-              .withColumn("_level", F.length(F.bin(F.col("_last") - F.col("_first"))))
-              .withColumn("_cell", F.explode(F.expr("sequence(shiftright(_first, _level), shiftright(_last, _level))"))))
-    levels = celled.agg(F.collect_set("_level")).scalar()
+    leveled = (spans.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+               .withColumn("_level", F.length(F.bin(F.col("_last") - F.col("_first")))))
+    celled = leveled.withColumn("_cell", F.explode(F.expr("sequence(shiftright(_first, _level), shiftright(_last, _level))")))
+    levels = leveled.agg(F.collect_set("_level")).scalar()
     marked = (points.withColumnsRenamed({k: f"_p_{k}" for k in keys}).withColumn("_day", F.unix_date(point_day)).where("_day IS NOT NULL")
               .withColumn("_levels", levels).withColumn("_p_level", F.explode("_levels"))
               .withColumn("_p_cell", F.expr("shiftright(_day, _p_level)")).drop("_levels", "_day"))
