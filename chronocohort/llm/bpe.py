@@ -29,9 +29,9 @@ from chronocohort.llm.base import small_batches
 #: Fixed value: the pattern of byte-level BPE that splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-SLICE = 1 << 21  # characters of text in work at once
-WORDS = 1 << 18  # words of a long text in work at once
-KEPT = 1 << 18  # distinct words in each half of the memory
+SLICE = 1 << 19  # characters of text in work at once
+WORDS = 1 << 16  # words of a long text in work at once
+KEPT = 1 << 16  # distinct words in each half of the memory
 
 
 def byte_letters() -> dict[str, int]:
