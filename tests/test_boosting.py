@@ -158,3 +158,17 @@ def test_cuts_are_all_values_or_percentiles(spark):
     rows = spark.range(5000).select(F.lit(0).alias("x"), *[(F.col("id") % (7 if i else 5000)).cast("double").alias(f"f_{c}") for i, c in enumerate(FE.CLINICAL)])
     cuts = FE.clinical_cuts(rows)
     assert cuts[1] == [float(i) for i in range(7)] and 200 < len(cuts[0]) < B.BINS and cuts[0] == sorted(cuts[0])
+
+
+def test_rows_of_one_file_are_dealt_over_the_cores(spark):
+    df = spark.createDataFrame(data(), ROWS).coalesce(1)
+    assert df.rdd.getNumPartitions() == 1 and B._dealt(df).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_sums_stay_exact_beyond_the_integers_of_doubles(spark):
+    cells = [(i, "train", 0, [0, 3], [i % 2, 1], [0.0]) for i in range(8)]
+    batch = spark.createDataFrame(cells, f"{ROWS}, margins array<double>").toArrow().combine_chunks().to_batches()[0]
+    block = B.Block(batch)
+    g = np.full(8, (1 << 58) + 1, np.int64)
+    place, cell, total, n = block.cell_sums(np.array([True, False, True]), np.where(np.arange(8) < 6, 0, -1), 1, g, np.ones(8, np.int64))
+    assert list(zip(place, cell, total, n)) == [(0, 0, 3 * ((1 << 58) + 1), 3), (0, 2, 6 * ((1 << 58) + 1), 6)]
