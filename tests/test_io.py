@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 from small import Tables, adm, at, rows
 
+from chronocohort.plans.workspace import Workspace
 from chronocohort.session import durable, shared_folder
 from chronocohort.sources import readers, schemas, sinks
+from chronocohort.sources.adapters import Clinic
 
 
 def test_parquet_is_preferred_and_types_are_coerced(spark, tmp_path):
@@ -48,3 +50,20 @@ def test_split_membership(spark):
 def test_sorted_sink(spark, tmp_path):
     out = sinks.write_table(spark.range(5).select((4 - F.col("id")).alias("x")), str(tmp_path / "t"), ["x"], csv=True)
     assert rows(out, "x") == [(i,) for i in range(5)] and (tmp_path / "t.csv").exists()
+
+
+def test_order_lines_are_joined_once_for_all_tables(spark, tmp_path):
+    spark.createDataFrame([(i, i % 3, at(i)) for i in range(12)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(i % 13, 7 * i, i, 1 + i % 3, float(i), 10.0 * i, "RAN"[i % 3], at(i)) for i in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    stored, plain = Workspace(spark, str(tmp_path)), Clinic(spark, str(tmp_path))
+    for name in ("diagnoses", "prescriptions", "echo", "procedures", "labevents"):
+        got = getattr(stored, name)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(got, *got.columns) == rows(getattr(plain, name), *got.columns) != []
+    assert set(stored.stages) == {"lines"}
+
+
+def test_partitions_of_the_clinical_jobs_are_small(spark, tmp_path):
+    Clinic(spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 480

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from small import DAY0
 
 from chronocohort.operators import evaluate as E
-from chronocohort.operators.ordering import as_of, carried, exact_quantiles, magnitude_chunk, prefix_sums, running_index
+from chronocohort.operators.ordering import as_of, carried, exact_quantiles, large_keys, magnitude_chunk, prefix_sums, running_index
 from chronocohort.operators.split import check_split, split_patients
 from chronocohort.operators.timeline import join_fitted
 
@@ -144,3 +144,39 @@ def test_as_of_takes_what_lies_strictly_before(spark):
     for k, t, i in asked:
         before = sorted((u, v) for kk, u, v in marks if kk == k and t is not None and u < t)
         assert got[i] == ((len(before), max(v for _, v in before), before[-1][1]) if before else (None, None, None)), i
+
+
+def shuffles(df):
+    """Exchanges of the plan as it was run, without those of broadcasts."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_only_large_keys_are_cut(spark):
+    data = skewed()
+    df = spark.createDataFrame([*data, (None, 1.0, -1)], "k int, v double, i int")
+    for whole in (0, 100, 10**6):
+        got = running_index(df, ["k"], [F.col("v"), F.col("i")], magnitude_chunk(F.col("v"), 2), "place", large_keys(df, ["k"], whole))
+        place = {r["i"]: r["place"] for r in got.collect()}
+        assert len(place) == len(data)
+        for k in {d[0] for d in data}:
+            assert [place[d[2]] for d in sorted((d for d in data if d[0] == k), key=lambda d: d[1:])] == list(range(1, sum(d[0] == k for d in data) + 1))
+    assert shuffles(got) <= 2  # the rows once, and the counts of the keys
+
+
+def test_rows_are_found_as_of_a_time_with_and_without_large_keys(spark):
+    rng = random.Random(7)
+    right = [(1 if rng.random() < 0.5 else rng.randint(2, 9), DAY0 + timedelta(hours=rng.randint(0, 9000)), rng.randint(0, 99)) for _ in range(900)]
+    left = [(rng.randint(1, 10), i, DAY0 + timedelta(hours=rng.randint(0, 9000))) for i in range(300)] + [(None, 300, DAY0), (1, 301, None)]
+    marks = spark.createDataFrame(right, "k int, u timestamp_ntz, v int")
+    asked = spark.createDataFrame(left, "k int, i int, t timestamp_ntz")
+    for whole in (0, 100, 10**6):
+        folds = {"n": ("sum", F.lit(1)), "top": ("max", F.col("v")), "last": ("last", F.col("v"))}
+        got = as_of(asked, marks, ["k"], "t", "u", folds, large_keys(marks, ["k"], whole))
+        assert got.columns == ["k", "i", "t", "n", "top", "last"]
+        found = {r.i: r for r in got.collect()}
+        assert len(found) == len(left)
+        for k, i, t in left:
+            past = sorted((u, v) for kk, u, v in right if t is not None and kk == k and u < t)
+            assert tuple(found[i])[3:] == ((len(past), max(v for _, v in past), past[-1][1]) if past else (None, None, None))
