@@ -14,6 +14,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, islice
 
 import ahocorasick
@@ -90,6 +91,7 @@ class Vocabulary(Pieces):
         self.made = made.tolist()
         self.ranks = {k: r for r, k in enumerate((left * self.size + right).tolist())}
         self.single = [self.ids[bytes([b])] for b in range(256)]
+        self.first = [self.ranks.get(a * self.size + b, len(self.made)) for a in self.single for b in self.single]  # ranks of all pairs of bytes
         self.rank = np.full(self.size, -1)  # of the merge that makes a token; base tokens have none
         self.left, self.right = np.full(self.size, -1), np.full(self.size, -1)
         self.rank[made], self.left[made], self.right[made] = np.arange(len(made)), left, right
@@ -150,17 +152,17 @@ class Vocabulary(Pieces):
         """Exact BPE: the merge of lowest rank first, from the left."""
         if len(word) > 64:
             return self._merge_long(word)
-        ranks, size, made, none = self.ranks, self.size, self.made, len(self.made)
-        token = [self.single[b] for b in word]
-        rank = [ranks.get(a * size + b, none) for a, b in zip(token, token[1:])]
+        ranks, size, made, none, first = self.ranks.get, self.size, self.made, len(self.made), self.first
+        token = list(map(self.single.__getitem__, word))
+        rank = [first[a << 8 | b] for a, b in zip(word, word[1:])]
         while rank and (r := min(rank)) < none:
             i = rank.index(r)
             t = token[i] = made[r]
             del token[i + 1], rank[i]
             if i:
-                rank[i - 1] = ranks.get(token[i - 1] * size + t, none)
+                rank[i - 1] = ranks(token[i - 1] * size + t, none)
             if i < len(rank):
-                rank[i] = ranks.get(t * size + token[i + 1], none)
+                rank[i] = ranks(t * size + token[i + 1], none)
         return token
 
     def _merge_long(self, word: bytes) -> list[int]:
@@ -269,6 +271,17 @@ class Encoder:
         yield from map(self.ids, held)
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(source: str) -> Encoder:
+    """One for a Python worker: later tasks find the tables built and the words of earlier ones known."""
+    return Encoder(source)
+
+
+@lru_cache(maxsize=1)
+def shared_pieces(source: str) -> Pieces:
+    return Pieces(source)
+
+
 def load(spark: SparkSession, path: str) -> Broadcast:
     """The tokenizer file, read on the driver and sent to the executors; a vocabulary has a fixed size of a few MB."""
     with open(path, encoding="utf-8") as f:
@@ -281,7 +294,7 @@ def encoder(spark: SparkSession, file: Broadcast):
 
     @F.arrow_udf("array<int>")
     def encode(stream: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = Encoder(file.value)
+        coder = shared_encoder(file.value)
         for texts in stream:
             lists = list(coder.encode([x.as_py() or "" for x in texts]))
             offsets = np.cumsum([0, *map(len, lists)])
@@ -296,7 +309,7 @@ def decoder(spark: SparkSession, file: Broadcast):
 
     @F.arrow_udf("string")
     def decode(stream: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = Pieces(file.value)
+        pieces = shared_pieces(file.value)
         for lists in stream:
             yield pa.array([pieces.decode(x.values.drop_null().to_numpy()) if x.is_valid else "" for x in lists], pa.string())
 

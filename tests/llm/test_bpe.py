@@ -91,3 +91,19 @@ def test_columns(spark, library):
     assert df.where("false").count() == 0
     bad = spark.createDataFrame([(None,), ([],), ([-1, 99999999, 262],)], "ids array<int>")
     assert [r[0] for r in bad.select(bpe.decoder(spark, file)("ids")).collect()] == ["", "", " the"]
+
+
+def test_tasks_of_a_worker_share_what_is_built_and_known():
+    with open(FILE, encoding="utf-8") as f:
+        source = f.read()
+    coder = bpe.shared_encoder(source)
+    words = [f"zq{i:x}xj" for i in range(100_000)]
+    first = list(coder.encode([" ".join(words)]))[0]
+    again, asked = bpe.shared_encoder(source), []
+    assert again is coder and bpe.shared_pieces(source) is bpe.shared_pieces(source)
+    work, again.vocabulary.encode_words = again.vocabulary.encode_words, lambda new: asked.extend(new) or work(new)
+    try:
+        assert list(again.encode([" ".join(words)]))[0].tolist() == first.tolist()
+    finally:
+        del again.vocabulary.encode_words
+    assert not asked  # 100,000 distinct words are remembered
