@@ -67,3 +67,8 @@ def test_order_lines_are_joined_once_for_all_tables(spark, tmp_path):
 def test_partitions_of_the_clinical_jobs_are_small(spark, tmp_path):
     Clinic(spark, str(tmp_path))
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 480
+
+
+def test_stages_are_packed_tightly(spark):
+    stored = durable(spark.range(10))
+    assert all(".zstd." in f for f in stored.inputFiles()) and stored.inputFiles()
