@@ -2,7 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from small import at, rows
+from small import Tables, adm, at, rows, rx
 
 from chronocohort.functions import scalars as S
 from chronocohort.operators import features as FE
@@ -182,3 +182,35 @@ def test_vocabulary_of_tokens_that_begin_alike(spark):
     tokens = spark.range(5000).select(F.format_string("medication::the same long beginning %07d", F.col("id")).alias("concept_token"))
     vocab = TL.vocabulary(tokens.unionByName(tokens).repartition(7)).where("id > 20")
     assert [r["id"] for r in vocab.orderBy("token").collect()] == list(range(21, 5021))
+
+
+def test_first_positions_of_visits_are_found_without_a_shuffle(spark):
+    rng, ids, visits = random.Random(4), {}, {}
+    for c in range(30):
+        n = rng.choice([0, 1, 5, 60])
+        ids[c], visits[c] = [rng.choice([S.PAD, 5, 30, 31]) for _ in range(n)], [rng.choice([0, 1, 2, 9]) for _ in range(n)]
+    made = [(c % 3, c, ids[c], [2] * len(ids[c]), visits[c], list(range(len(ids[c])))) for c in ids]
+    seqs = spark.createDataFrame(made, "subject_id long, cycle_number int, concept_ids array<int>, type_ids array<int>, visit_ids array<int>, dates array<int>")
+    for k in (1, 3):
+        want, seen = [], {}
+        for c in ids:
+            for i, (x, v) in enumerate(zip(ids[c], visits[c])):
+                if x != S.PAD:
+                    seen[c, v] = seen.get((c, v), 0) + 1
+                    if seen[c, v] <= k:
+                        want.append((c % 3, c, i, x, 2, v, i, seen[c, v]))
+        got = Q.first_per_visit(seqs, k)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prescriptions_are_joined_without_their_doses(spark):
+    tables = Tables(spark, prescriptions=[rx(1, at(1), drug=" Aspirin", pharmacy=None, dose=d) for d in ("1 mg", "2 mg")] + [rx(1, at(1), drug=None, pharmacy=7)],
+                    admissions=[adm(1, 1, at(0), at(9))])
+    visits = TL.visits(tables.admissions)
+    events = TL.medication_events(tables.prescriptions, visits)
+    assert rows(events, "concept_token", "event_priority", "visit_id") == [("medication::aspirin", 0, 1), ("medication::aspirin", 1, 1), ("medication::nan", 2, 1)]
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    used = [line for line in plan.splitlines() if "dose_val_rx" in line and "LogicalRDD" not in line]
+    assert used and all("AS _same" in line for line in used)
+    assert rows(TL.medication_events(tables.prescriptions, visits, bucket=True), "event_priority") == [(0,), (1,), (2,)]
