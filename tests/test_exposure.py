@@ -59,3 +59,8 @@ def test_code_sets(spark):
     assert rows(t.diagnoses.where(C.active_cancer()), "icd_code") == [("2080",), ("C50",)]
     procedures = spark.createDataFrame([("9925", 9), ("99251", 9), ("9229", 9), ("D7001ZZ", 10)], "icd_code string, icd_version int")
     assert rows(procedures.where(C.TREATMENT_PROCEDURES.matches()), "icd_code") == [("9229",), ("9925",), ("D7001ZZ",)]
+
+
+def test_patterns_run_on_names_and_not_on_rows(spark):
+    plan = starts(spark, [rx(1, at(0)), rx(2, at(0), "Aspirin")])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "CASE WHEN" not in plan
