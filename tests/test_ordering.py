@@ -180,3 +180,12 @@ def test_rows_are_found_as_of_a_time_with_and_without_large_keys(spark):
         for k, i, t in left:
             past = sorted((u, v) for kk, u, v in right if t is not None and kk == k and u < t)
             assert tuple(found[i])[3:] == ((len(past), max(v for _, v in past), past[-1][1]) if past else (None, None, None))
+
+
+def test_rows_that_lie_by_key_are_not_shuffled_again(spark):
+    df = spark.createDataFrame(skewed(), "k int, v double, i int").repartition("k")
+    got = running_index(df, ["k", "v"], [F.col("i")], F.col("i"), "place", large_keys(df, ["k"]))
+    initial = got._jdf.queryExecution().executedPlan().toString()
+    got.collect()
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning(k#") == 1
+    assert "left_anti" in initial.lower() or "leftanti" in initial.lower()
