@@ -213,3 +213,37 @@ def test_prescriptions_are_joined_without_their_doses(spark):
     used = [line for line in plan.splitlines() if "dose_val_rx" in line and "LogicalRDD" not in line]
     assert used and all("AS _same" in line for line in used)
     assert rows(TL.medication_events(tables.prescriptions, visits, bucket=True), "event_priority") == [(0,), (1,), (2,)]
+
+
+def history_of_many(seed):
+    rng = random.Random(seed)
+    events = [event(sid, at(rng.random() * 300), rng.randint(0, 4), f"t{rng.randint(0, 30)}", rng.choice(["lab", "diagnosis"]), rng.randint(21, 60))
+              for sid in range(1, 9) for _ in range(rng.choice([0, 3, 40]))]
+    samples = [(sid, c, at(rng.random() * 300), c % 2) for sid in range(1, 10) for c in (1, 2, 3)] + [(None, 1, at(9), 0)]
+    return samples, events
+
+
+@pytest.mark.parametrize("most", [0, 10, 10**6])
+def test_held_and_ranged_patients_give_one_result(spark, most):
+    samples, events = history_of_many(5)
+    known = Q.past(spark.createDataFrame(samples, SAMPLES), spark.createDataFrame(events, EVENTS), most)
+    assert (known.ranged is None) == (most == 10**6)
+    expected = brute(events, samples, 12, True, True)
+    got = Q.sequences_of(known, 12, True, True).collect()
+    assert {(r["subject_id"], r["cycle_number"]): r["concept_ids"] for r in got} == {k: ids for k, (ids, _) in expected.items()} and len(got) == len(samples)
+    assert all(r["raw_seq_len"] == expected[r["subject_id"], r["cycle_number"]][1] for r in got)
+    visits = {}
+    for sid, cycle, when, _ in samples:
+        for v in {e[7] for e in events if e[0] == sid}:
+            times = [e[3] for e in events if e[0] == sid and e[7] == v]
+            if min(times) < when:
+                visits[sid, cycle, v] = (sum(t < when for t in times), max(t for t in times if t < when), int(max(times) < when))
+    found = Q.events_before(known).collect()
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in found} == visits and len(found) == len(visits)
+
+
+def test_sequences_of_stored_histories_shuffle_nothing(spark):
+    samples, events = history_of_many(6)
+    known = Q.past(spark.createDataFrame(samples, SAMPLES), spark.createDataFrame(events, EVENTS))
+    for df in (Q.sequences_of(known, 12), Q.sequences_of(known, 12, True, True), Q.events_before(known)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
