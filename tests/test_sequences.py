@@ -247,3 +247,12 @@ def test_sequences_of_stored_histories_shuffle_nothing(spark):
     known = Q.past(spark.createDataFrame(samples, SAMPLES), spark.createDataFrame(events, EVENTS))
     for df in (Q.sequences_of(known, 12), Q.sequences_of(known, 12, True, True), Q.events_before(known)):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_visit_to_zero_is_found_once_for_each_row(spark):
+    seqs = Q.sequences(spark.createDataFrame([(1, 1, at(9), 1)], SAMPLES), spark.createDataFrame([event(1, at(v), v, "a", cid=30 + v) for v in (1, 2, 3)], EVENTS), 9)
+    stored = spark.createDataFrame(seqs.collect(), seqs.schema)
+    for offset, expected in ((-1, [S.CLS, 31, 32, 0]), (1, [S.CLS, 31, 0, 33]), (3, [S.CLS, 31, 32, 33]), (-4, [S.CLS, 31, 32, 33])):
+        got = Q.perturb_visit(stored, offset)
+        assert got.columns == seqs.columns and got.collect()[0]["concept_ids"] == expected
+        assert got._jdf.queryExecution().executedPlan().toString().count("array_distinct") == 1
