@@ -9,6 +9,7 @@ from chronocohort.operators import features as FE
 from chronocohort.operators import labels as L
 from chronocohort.operators import sequence as Q
 from chronocohort.operators import timeline as TL
+from chronocohort.session import durable, tune_tables
 
 EVENTS = ("subject_id long, hadm_id long, admittime timestamp_ntz, event_time timestamp_ntz, event_type string, concept_token string, event_priority int, "
           "visit_id int, concept_id int, type_id int")
@@ -257,3 +258,31 @@ def test_a_visit_to_zero_is_found_once_for_each_row(spark):
         assert got.columns == seqs.columns and got.collect()[0]["concept_ids"] == expected
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert plan.count("array_distinct") == 1 and "array_sort(" not in plan and "Generate" in plan  # no comparator in lambdas, and a node between
+
+
+def test_scans_of_stages_are_cut_small(spark):
+    tune_tables(spark)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        stored = durable(spark.range(200_000, numPartitions=8).select(*[F.rand(i).alias(f"x{i}") for i in range(16)]))
+        assert stored.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_events_are_filtered_by_their_admissions_before_the_shuffle(spark):
+    tune_tables(spark)
+    size, broadcast = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "spark.sql.autoBroadcastJoinThreshold"
+    before = {name: spark.conf.get(name) for name in (size, broadcast)}
+    diagnoses = [(s, 10 * s + k, 1, 10, f"I5{k}") for s in range(1, 40) for k in range(3)]
+    tables = Tables(spark, admissions=[adm(10 * s + k, s, at(k), at(k + 1)) for s in range(1, 40) for k in range(2)], diagnoses=diagnoses)
+    some = durable(TL.visits(tables.admissions, spark.createDataFrame([(3,), (7,)], "subject_id long")))
+    try:
+        spark.conf.set(size, "0")
+        spark.conf.set(broadcast, "-1")
+        events = TL.diagnosis_events(durable(tables.diagnoses), some)
+        assert "might_contain" in events._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(events, "subject_id", "hadm_id") == [(3, 30), (3, 31), (7, 70), (7, 71)]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
