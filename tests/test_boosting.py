@@ -172,3 +172,53 @@ def test_sums_stay_exact_beyond_the_integers_of_doubles(spark):
     g = np.full(8, (1 << 58) + 1, np.int64)
     place, cell, total, n = block.cell_sums(np.array([True, False, True]), np.where(np.arange(8) < 6, 0, -1), 1, g, np.ones(8, np.int64))
     assert list(zip(place, cell, total, n)) == [(0, 0, 3 * ((1 << 58) + 1), 3), (0, 2, 6 * ((1 << 58) + 1), 6)]
+
+
+def test_blocks_hold_each_row_of_train_and_val_once(spark):
+    """Passes read blocks that are packed once; test rows are not among them, and train rows are apart from val rows."""
+    rows = data(1000, 7)
+    models = [B.Model("all", 1, 0, B.WIDTH)] * 2
+    found = list(B._blocks(iter(B._packed(spark.createDataFrame(rows, ROWS).repartition(3), models).toArrow().to_batches())))
+    assert max(b.n for b in found) <= -(-750 // (2 * spark.sparkContext.defaultParallelism)) and all(b.margins.shape == (2, b.n) for b in found)
+    got = {}
+    for b in found:
+        cells = [[] for _ in range(b.n)]
+        for c, x, y in zip(b.cells, b.starts, b.starts[1:]):
+            for r in b.rows[x:y]:
+                cells[r].append(divmod(int(c), B.BINS))
+        got |= {int(i): ("train" if b.train else "val", int(y), c) for i, y, c in zip(b.row_id, b.label, cells)}
+    assert sum(b.n for b in found) == 750
+    assert got == {i: (part, y, list(zip(f, b))) for i, part, y, f, b in rows if part != "test"}
+
+
+@pytest.mark.parametrize("weightless", [False, True])
+def test_sums_of_the_heavier_node_are_what_the_lighter_one_leaves(spark, weightless):
+    rng, rows = np.random.default_rng(3), data(600, 9)
+    table = spark.createDataFrame(rows, ROWS).toArrow()
+    block = B.Block(table)
+    cells = np.array([f * B.BINS + b for *_, fs, bs in rows for f, b in zip(fs, bs)])
+    at = np.array([i for i, r in enumerate(rows) for _ in r[3]])
+    g, h = rng.integers(-99, 99, 600), rng.integers(0 if weightless else 1, 9, 600)
+    kept, place = rng.random(len(block.cells)) < 0.7, rng.integers(-1, 3, 600)
+    expected = {}
+    for i, c in zip(at, cells):
+        if place[i] >= 0 and kept[np.searchsorted(block.cells, c)]:
+            x, y = expected.get((place[i], c), (0, 0))
+            expected[place[i], c] = (x + g[i], y + h[i])
+    assert {(p, block.cells[c]): (x, y) for p, c, x, y in zip(*block.cell_sums(kept, place, 3, g, h))} == expected
+
+    blocks = B._packed(spark.createDataFrame(rows, ROWS), model := [B.Model("all", 1, 0, B.WIDTH)])
+    tree = B.Tree({0: (0, 4, True)})
+    if weightless:  # derivatives of 0 in rows that are there: their cells stay
+        blocks = spark.createDataFrame([r.asDict() | {"margins": np.where(np.arange(r.n) % 2, 40.0, -40.0).tobytes()} for r in blocks.collect()], B.BLOCKS)
+    s = B.Settings(rows=1.0, columns=1.0, least_weight=0.0 if weightless else 1.0)
+
+    def read(nodes, whole=False):
+        return blocks.mapInArrow(lambda stream: B._pass(stream, [(0, model[0], [], tree if nodes != [0] else B.Tree(), nodes)], s, 0, whole), B.SUMS)
+
+    totals = {}
+    for r in read([1, 2]).where("feature = 0").groupBy("node").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+        totals[0, r.node] = (r.g, r.h)  # of rows with the feature: any two numbers do
+    both = B.best_splits(read([1, 2]), totals, s)
+    light = B.best_splits(read([0]).unionAll(read([1])), totals, s, {(0, 0): [(2, 1)], (0, 1): [(1, 1), (2, -1)]})
+    assert sorted(both) == sorted(light) and (weightless or len(both) == 2)
