@@ -222,3 +222,51 @@ def test_sums_of_the_heavier_node_are_what_the_lighter_one_leaves(spark, weightl
     both = B.best_splits(read([1, 2]), totals, s)
     light = B.best_splits(read([0]).unionAll(read([1])), totals, s, {(0, 0): [(2, 1)], (0, 1): [(1, 1), (2, -1)]})
     assert sorted(both) == sorted(light) and (weightless or len(both) == 2)
+
+
+def test_rows_of_samples_with_repeated_and_missing_keys(spark):
+    """Token arrays of one key are counted together; arrays, tokens and values may be missing, and a sample without a split is left out."""
+    low = len(S.RESERVED)
+    first, second, third, *_ = FE.CLINICAL
+    people = [(1, 1, 1, 2.5, None), (1, 2, 0, 0.0, 9.0), (2, 1, None, None, 1.0), (3, 1, 1, 1.0, 1.0), (4, None, 0, 7.0, None)]
+    rows = spark.createDataFrame(people, f"subject_id long, cycle_number int, binary_label int, f_{first} double, f_{second} double")
+    rows = rows.select("*", F.lit(float("nan")).alias(f"f_{third}"), *[F.lit(None).cast("double").alias(f"f_{c}") for c in FE.CLINICAL[3:]])
+    seqs = [(1, 1, [S.CLS, low, low, None, low + 2]), (1, 1, [low] * 15), (1, 1, None), (1, 2, []), (2, 1, [low + 1] * 40 + [0]), (4, None, [low])]
+    cuts = [[0.0, 2.5, 3.0], [1.0], [1.0, 2.0], *[[] for _ in FE.CLINICAL[3:]]]
+    parts = spark.createDataFrame([(1, "train"), (2, "val"), (4, "test")], "subject_id long, split string")
+    got = FE.model_rows(rows, parts, spark.createDataFrame(seqs, "subject_id long, cycle_number int, concept_ids array<int>"), cuts)
+    n = len(FE.CLINICAL)
+    assert sorted((r.subject_id, r.cycle_number, r.part, r.label, list(zip(r.features, r.bins))) for r in got.collect()) == [
+        (1, 1, "train", 1, [(0, 1), (2, 2), (n + low, 16), (n + low + 2, 1)]), (1, 2, "train", 0, [(0, 0), (1, 1), (2, 2)]),
+        (2, 1, "val", None, [(1, 0), (2, 2), (n + low + 1, 17)]), (4, None, "test", 0, [(0, 3), (2, 2)])]
+    counts = np.arange(1, 70_000)
+    assert [r[0] for r in spark.range(1, 70_000).orderBy("id").select(FE.token_bin(F.col("id"))).collect()] == FE.token_bins(counts).tolist()
+
+
+def test_scores_after_edits_are_joined_by_sample_not_by_model(spark):
+    rows = [(i, 1, "test", i % 2, [0], [i % 5]) for i in range(40)]
+    df = spark.createDataFrame(rows, "subject_id long, cycle_number int, part string, label int, features array<int>, bins array<int>")
+    models = [B.Model("a", 1, 0, 9, [B.Tree({0: (0, 2, True)}, {1: 1.0, 2: -1.0})]), B.Model("a", 2, 0, 9, [B.Tree({}, {0: 0.5})]), B.Model("b", 1, 0, 9)]
+    got = FE.rescore(df, {"none": df, "all": df.withColumn("bins", F.array(F.lit(4)))}, models)
+    assert got.columns == ["subject_id", "cycle_number", "variant", "seed", "edit", "prob_perturb", "prob_orig", "delta_prob"]
+    low, high = (float(B.probability(np.float64(x))) for x in (-1.0, 1.0))
+    expected = {(i, v, s, e): (p if e == "none" else q, p) for i in range(40) for v, s, p, q in (("a", 1, high if i % 5 <= 2 else low, low), ("a", 2, *[float(B.probability(np.float64(0.5)))] * 2), ("b", 1, 0.5, 0.5)) for e in ("none", "all")}
+    found = got.collect()
+    assert len(found) == len(expected) and {(r.subject_id, r.variant, r.seed, r.edit): (r.prob_perturb, r.prob_orig) for r in found} == expected
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join Inner")  # 40 rows a side are joined, not 40 for each model
+
+
+def test_scores_of_the_trees_are_stored_once_for_all_queries(spark):
+    from chronocohort.plans.queries import REGISTRY
+    from chronocohort.plans.workspace import Workspace
+
+    rows = [(i, 1, "test" if i % 2 else "train", i % 3 % 2, [0, 40], [i % 5, 1]) for i in range(60)]
+    df = spark.createDataFrame(rows, "subject_id long, cycle_number int, part string, label int, features array<int>, bins array<int>")
+    trees = B.as_table(spark, [B.Model(v, s, 0, 9, [B.Tree({0: (0, 2, True)}, {1: 1.0, 2: -1.0})]) for v in FE.VARIANTS for s in (1, 2)])
+    ws = Workspace(spark, "/nowhere", {"tree_data": df, "trees": trees})
+    for name in ("eval_seed_summary_trees", "model_gbt"):
+        out = REGISTRY[name](ws)
+        assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.count() == {"eval_seed_summary_trees": 18, "model_gbt": 180}[name]
+    assert {(r.variant, r.n_features) for r in out.collect()} == {("clinical", 1), ("bow", 1), ("combined", 2)}
